@@ -62,103 +62,76 @@ class Gazetteer:
         return F.from_json(F.lit(text), f"map<string,{_ENTRY}>")
 
 
+def _literal(text: str) -> str:
+    """A raw SQL string literal (patterns hold no double quotes)."""
+    return f'r"{text}"'
+
+
+def _lengths(array: str) -> str:
+    return f"aggregate({array}, 0, (acc, s) -> acc + length(s))"
+
+
 def mentions(df: DataFrame, text: str, out: str, gazetteer: Gazetteer | None = None) -> DataFrame:
-    """Add ``out``: the unguarded-away place mentions of column ``text``, in text order.
+    """Add ``out``: the place mentions of column ``text`` that survive the guards, in text order.
 
     Each is struct(index, start, end, name, locative, place), offsets in
     characters, end exclusive. ``{out}_gaps`` keeps the text between names.
     """
     gazetteer = gazetteer or Gazetteer()
-    names, gaps = f"{out}_names", f"{out}_gaps"
+    n, g, lookup = f"{out}_names", f"{out}_gaps", f"{out}_lookup"
+    pattern = F.lit(gazetteer.pattern)
     split = materialize(
-        df,
-        {
-            names: F.regexp_extract_all(F.col(text), F.lit(gazetteer.pattern), F.lit(0)),
-            gaps: F.split(F.col(text), gazetteer.pattern, -1),
-        },
-    )
-    lookup = gazetteer.lookup()
-
-    def lengths(array: Column) -> Column:
-        return F.aggregate(array, F.lit(0), lambda acc, s: acc + F.length(s))
-
-    def judge(name: Column, i: Column) -> Column:
-        n, g = F.col(names), F.col(gaps)
-        start = lengths(F.slice(g, F.lit(1), i + 1)) + lengths(F.slice(n, F.lit(1), i))
-        right = F.concat(
-            *(F.coalesce(x, F.lit("")) for x in (
-                F.get(g, i + 1), F.get(n, i + 1), F.get(g, i + 2), F.get(n, i + 2), F.get(g, i + 3)
-            ))
-        )
-        guarded = (
-            F.substring(name, 1, 1).rlike(r"^\p{Lu}")
-            & ~right.rlike(V.ADDRESS_PATTERN)
-            & ~right.rlike(V.NAME_CONTINUES_PATTERN)
-        )
-        return F.struct(
-            i.alias("index"),
-            start.alias("start"),
-            (start + F.length(name)).alias("end"),
-            name.alias("name"),
-            F.get(g, i).rlike(V.LOCATIVE_PATTERN).alias("locative"),
-            F.try_element_at(lookup, F.lower(name)).alias("place"),
-            guarded.alias("kept"),
-        )
-
-    kept = F.filter(F.transform(F.col(names), judge), lambda m: m.kept)
-    return materialize(split, {out: kept}).drop(names)
-
-
-def _chosen(loci: Column) -> Column:
-    """The longest dictionary name, then table order, then position."""
-    return F.array_min(F.transform(loci, lambda m: F.struct(m.place.rank.alias("rank"), m.index.alias("index"), m.alias("m")))).m
-
-
-def _distinct(loci: Column, key) -> Column:
-    return F.size(F.array_distinct(F.transform(loci, key)))
-
-
-def _coordinates(m: Column) -> Column:
-    return F.struct(m.place.lat, m.place.lon, m.place.country)
-
-
-def _picked(df: DataFrame, found: str, distinct_key, contradictions: bool) -> DataFrame:
-    """Add ``{found}_pick``: the chosen locative mention when all agree on ``distinct_key``."""
-    loci, best, pick = f"{found}_loci", f"{found}_best", f"{found}_pick"
-    df = materialize(df, {loci: F.filter(F.col(found), lambda m: m.locative)})
-    df = materialize(df, {best: _chosen(F.col(loci))})
-    chosen, gaps = F.col(best), F.col(f"{found}_gaps")
-
-    def contradicts(other: Column) -> Column:
-        between = F.slice(gaps, chosen["index"] + 2, F.greatest(other["index"] - chosen["index"], F.lit(0)))
-        return (
-            (other["index"] > chosen["index"])
-            & (_coordinates(other) != _coordinates(chosen))
-            & F.exists(between, lambda gap: gap.rlike(V.JOINED_PATTERN))
-        )
-
-    agreed = _distinct(F.col(loci), distinct_key) == 1
+        df, {n: F.regexp_extract_all(F.col(text), pattern, F.lit(0)), g: F.split(F.col(text), gazetteer.pattern, -1)}
+    ).withColumn(lookup, gazetteer.lookup())
+    start = f"{_lengths(f'slice({g}, 1, i + 1)')} + {_lengths(f'slice({n}, 1, i)')}"
+    # Two names and three gaps hold at least the two words the guards look at.
+    right = f"concat_ws('', get({g}, i + 1), get({n}, i + 1), get({g}, i + 2), get({n}, i + 2), get({g}, i + 3))"
+    kept = f"""
+      filter(transform({n}, (name, i) -> named_struct(
+          'index', i,
+          'start', {start},
+          'end', {start} + length(name),
+          'name', name,
+          'locative', get({g}, i) rlike {_literal(V.LOCATIVE_PATTERN)},
+          'place', try_element_at({lookup}, lower(name)),
+          'right', {right})),
+        m -> substring(m.name, 1, 1) rlike {_literal(r"^\p{Lu}")}
+          AND NOT m.right rlike {_literal(V.ADDRESS_PATTERN)}
+          AND NOT m.right rlike {_literal(V.NAME_CONTINUES_PATTERN)})"""
+    return materialize(split, {out: F.expr(kept)}).drop(n, lookup)
+
+
+def _picked(df: DataFrame, found: str, distinct_key: str, contradictions: bool) -> DataFrame:
+    """Add ``{found}_pick``: the chosen locative mention when all agree on ``distinct_key``.
+
+    The choice is the longest dictionary name, then table order, then position.
+    """
+    gaps, loci, best, pick = (f"{found}_{part}" for part in ("gaps", "loci", "best", "pick"))
+    df = materialize(df, {loci: F.expr(f"filter({found}, m -> m.locative)")})
+    ranked = f"array_min(transform({loci}, m -> struct(m.place.rank AS rank, m.index AS index, m AS m))).m"
+    df = materialize(df, {best: F.expr(ranked)})
+    agreed = f"size(array_distinct(transform({loci}, m -> {distinct_key}))) = 1"
     if contradictions:
-        agreed = agreed & ~F.exists(F.col(found), contradicts)
-    return materialize(df, {pick: F.when(agreed, chosen)}).drop(loci, best)
-
-
-def _located(pick: Column, source: str) -> Column:
-    plain = F.concat(pick["name"], F.lit(", "), pick.place.country, F.lit(" (approximate)"))
-    label = F.when(pick.place.scope == "region", F.concat(pick.place.label, F.lit(" (regional approximation)")))
-    return F.when(
-        pick.isNotNull(),
-        F.struct(
-            pick.place.lat.alias("lat"),
-            pick.place.lon.alias("lon"),
-            F.substring(F.coalesce(label, plain), 1, 80).alias("loc"),
-            F.lit("approximate").alias("tier"),
-            F.lit(source).alias("source"),
-            F.lit(V.GEO_POLICY).alias("policy"),
-            pick.place.scope.alias("scope"),
-            pick["name"].alias("evidence"),
-        ),
-    )
+        elsewhere = "struct(m.place.lat, m.place.lon, m.place.country)"
+        agreed += f"""
+          AND NOT exists({found}, m -> m.index > {best}.index
+            AND {elsewhere} <> {elsewhere.replace('m.', f'{best}.')}
+            AND exists(slice({gaps}, {best}.index + 2, greatest(m.index - {best}.index, 0)),
+                       gap -> gap rlike {_literal(V.JOINED_PATTERN)}))"""
+    return materialize(df, {pick: F.expr(f"CASE WHEN {agreed} THEN {best} END")}).drop(loci, best)
+
+
+_COORDINATES = "struct(m.place.lat, m.place.lon, m.place.country)"
+
+
+def _located(pick: str, source: str) -> str:
+    label = f"""CASE WHEN {pick}.place.scope = 'region' THEN concat({pick}.place.label, ' (regional approximation)')
+                ELSE concat({pick}.name, ', ', {pick}.place.country, ' (approximate)') END"""
+    return f"""
+      CASE WHEN {pick} IS NOT NULL THEN named_struct(
+        'lat', {pick}.place.lat, 'lon', {pick}.place.lon, 'loc', substring({label}, 1, 80),
+        'tier', 'approximate', 'source', '{source}', 'policy', '{V.GEO_POLICY}',
+        'scope', {pick}.place.scope, 'evidence', {pick}.name) END"""
 
 
 def locate(
@@ -176,13 +149,13 @@ def locate(
     """
     need = F.lit(True) if when is None else when
     df = mentions(df.withColumn("__text", F.when(need, F.col(title))), "__text", "__h", gazetteer).drop("__text")
-    df = _picked(df, "__h", _coordinates, contradictions=True)
-    found = _located(F.col("__h_pick"), "title")
+    df = _picked(df, "__h", _COORDINATES, contradictions=True)
+    found = _located("__h_pick", "title")
     if summary is not None:
         lede = strip(F.coalesce(F.col(summary), F.lit("")))
         wanted = need & F.col("__h_pick").isNull() & (F.length(lede) >= V.LEDE_MIN_CHARS)
         df = mentions(df.withColumn("__text", F.when(wanted, lede)), "__text", "__l", gazetteer)
-        df = _picked(df, "__l", lambda m: m.place.country, contradictions=False)
-        found = F.coalesce(found, _located(F.col("__l_pick"), "summary"))
+        df = _picked(df, "__l", "m.place.country", contradictions=False)
+        found = f"coalesce({found}, {_located('__l_pick', 'summary')})"
     scratch = [f"__{tier}{part}" for tier in "hl" for part in ("", "_gaps", "_pick")]
-    return materialize(df, {out: found}).drop("__text", *scratch)
+    return materialize(df, {out: F.expr(found)}).drop("__text", *scratch)

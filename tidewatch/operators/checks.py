@@ -30,23 +30,27 @@ def _outside(value: Column, low, high) -> Column:
 
 def event_violations() -> Column:
     """Rules of the event contract over the flat event columns."""
-    c = F.col
-    return broken_rules(
-        {
-            "topic": c("t").isNull() | ~c("t").isin(*V.TOPICS),
-            "severity": c("sev").isNull() | ~c("sev").isin(*V.SEVERITIES),
-            "title_length": c("title").isNull() | ~F.length("title").between(10, 200),
-            "summary_length": F.length("summary") > 1000,
-            "source_label": c("src").isNull(),
-            "place_label": c("loc").isNull(),
-            "latitude": _outside(c("lat"), -90, 90),
-            "longitude": _outside(c("lon"), -180, 180),
-            "time": _outside(c("ts"), 0, MAX_MS),
-            "url": c("url").isNull() | ~c("url").rlike(r"^https?://[^\s]+$"),
-            "tone": _outside(c("tone"), -100, 100),
-            "quality": ~c("quality").between(0, 100),
-        }
-    )
+
+    def outside(column: str, low, high) -> str:
+        return f"{column} IS NULL OR isnan(CAST({column} AS DOUBLE)) OR NOT {column} BETWEEN {low} AND {high}"
+
+    topics, severities = (", ".join(f"'{x}'" for x in names) for names in (V.TOPICS, V.SEVERITIES))
+    rules = {
+        "topic": f"t IS NULL OR t NOT IN ({topics})",
+        "severity": f"sev IS NULL OR sev NOT IN ({severities})",
+        "title_length": "title IS NULL OR NOT length(title) BETWEEN 10 AND 200",
+        "summary_length": "length(summary) > 1000",
+        "source_label": "src IS NULL",
+        "place_label": "loc IS NULL",
+        "latitude": outside("lat", -90, 90),
+        "longitude": outside("lon", -180, 180),
+        "time": outside("ts", 0, MAX_MS),
+        "url": r"url IS NULL OR NOT url rlike r'^https?://[^\s]+$'",
+        "tone": outside("tone", -100, 100),
+        "quality": "NOT quality BETWEEN 0 AND 100",
+    }
+    cases = ", ".join(f"CASE WHEN {bad} THEN '{name}' END" for name, bad in rules.items())
+    return F.expr(f"array_compact(array({cases}))")
 
 
 def document_violations(payload: str = "payload") -> Column:

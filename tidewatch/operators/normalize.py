@@ -23,80 +23,60 @@ def normalize(articles: DataFrame, as_of_ms: int, gazetteer: Gazetteer | None =
 
     ``outcome`` is ``accepted``, ``dropped:<gate>`` or ``rejected:<rule>``. Narrow: no shuffle.
     """
-    a = F.col
-    raw_lat = F.coalesce(a("lat").try_cast("double"), F.lit(0.0))
-    raw_lon = F.coalesce(a("long").try_cast("double"), F.lit(0.0))
-    # One unreadable coordinate voids the pair.
-    unreadable = (a("lat").isNotNull() & a("lat").try_cast("double").isNull() & (text.strip(a("lat")) != "")) | (
-        a("long").isNotNull() & a("long").try_cast("double").isNull() & (text.strip(a("long")) != "")
-    )
+    def number(name: str) -> str:
+        # Missing or empty means zero; unreadable voids the pair.
+        return f"CASE WHEN coalesce({name}, '') = '' THEN 0.0D ELSE try_cast({name} AS DOUBLE) END"
+
+    unreadable = f"({number('lat')}) IS NULL OR ({number('`long`')}) IS NULL"
     staged = articles.select(
-        "seq",
-        text.strip(F.coalesce(a("title"), F.lit(""))).alias("title"),
-        a("title").alias("raw_title"),
-        text.strip(F.coalesce(a("url"), F.lit(""))).alias("url"),
-        "domain",
-        "language",
-        F.coalesce(a("tone").try_cast("double"), F.lit(0.0)).alias("tone"),
-        "seendate",
-        F.when(unreadable, 0.0).otherwise(raw_lat).alias("lat0"),
-        F.when(unreadable, 0.0).otherwise(raw_lon).alias("lon0"),
-        text.non_empty(a("location.fullName")).alias("place_name"),
-        text.country_label(a("location.countryCode")).alias("country"),
-        text.non_empty(a("rss_topic")).alias("rss_topic"),
-        F.coalesce(text.non_empty(a("rss_source")), text.non_empty(a("domain")), F.lit("GDELT")).alias("src0"),
-        F.substring(text.strip(F.coalesce(a("rss_description"), F.lit(""))), 1, 600).alias("summary"),
-        "media_image",
-        "video_url",
-        "socialimage",
+        F.col("title").alias("raw_title"),
+        text.strip(F.coalesce("title", F.lit(""))).alias("title"),
+        text.strip(F.coalesce("url", F.lit(""))).alias("url"),
+        F.substring(text.strip(F.coalesce("rss_description", F.lit(""))), 1, 600).alias("summary"),
+        text.strip(F.expr("coalesce(nullif(rss_source, ''), nullif(domain, ''), 'GDELT')")).alias("src0"),
+        times.parse_seendate(F.col("seendate")).alias("seen"),
+        text.country_label(F.col("location.countryCode")).alias("country"),
+        *map(F.expr, (
+            "seq", "domain", "language", "media_image", "video_url", "socialimage",
+            "nullif(rss_topic, '') AS rss_topic",
+            "nullif(location.fullName, '') AS place_name",
+            "coalesce(try_cast(tone AS DOUBLE), 0.0D) AS tone",
+            f"CASE WHEN {unreadable} THEN 0.0D ELSE {number('lat')} END AS lat0",
+            f"CASE WHEN {unreadable} THEN 0.0D ELSE {number('`long`')} END AS lon0",
+        )),
     )
-    staged = materialize(staged, {"t": F.coalesce(a("rss_topic"), text.classify_topic(a("title")))})
-    gate = (
-        F.when(F.length(a("title")) < 10, "dropped:short_title")
-        .when(~text.is_english(a("language")), "dropped:language")
-        .when(a("t").isNull(), "dropped:topic")
+    staged = materialize(staged, {"t": F.coalesce(F.col("rss_topic"), text.classify_topic(F.col("title")))})
+    gate = """CASE WHEN length(title) < 10 THEN 'dropped:short_title'
+                   WHEN NOT (startswith(lower(coalesce(language, '')), 'english') OR lower(language) <=> 'en') THEN 'dropped:language'
+                   WHEN t IS NULL THEN 'dropped:topic' END"""
+    staged = materialize(
+        staged, {"gate": F.expr(gate), "has_position": geo.valid_coordinates(F.col("lat0"), F.col("lon0"))}
     )
-    staged = materialize(staged, {"gate": gate, "has_position": geo.valid_coordinates(a("lat0"), a("lon0"))})
     located = locate(
-        staged, "title", "summary", "place", when=a("gate").isNull() & ~a("has_position"), gazetteer=gazetteer
-    )
-    supplied = F.when(a("place_name").isNull(), a("country")).otherwise(
-        F.concat_ws(", ", a("place_name"), a("country"))
+        staged, "title", "summary", "place", when=F.expr("gate IS NULL AND NOT has_position"), gazetteer=gazetteer
     )
-    src = text.strip(a("src0"))
-    seen = times.parse_seendate(a("seendate"))
     events = located.select(
-        "seq",
-        "t",
-        text.classify_severity(a("title"), a("tone")).alias("sev"),
-        F.substring("title", 1, 200).alias("title"),
-        "summary",
-        F.when(src == "", urls.outlet_host(a("url"))).otherwise(src).alias("src"),
-        F.substring(F.when(a("has_position"), supplied).otherwise(a("place.loc")), 1, 80).alias("loc"),
-        F.when(a("has_position"), a("lat0")).otherwise(a("place.lat")).alias("lat"),
-        F.when(a("has_position"), a("lon0")).otherwise(a("place.lon")).alias("lon"),
-        F.coalesce(F.nullif(seen, F.lit(0).cast("long")), F.lit(as_of_ms)).alias("ts"),
-        F.lit(as_of_ms).cast("long").alias("ingested_at"),
-        "url",
-        F.bround("tone", 1).alias("tone"),
-        scoring.quality(a("raw_title"), a("domain"), a("tone"), a("socialimage")).alias("quality"),
-        F.when(a("has_position"), "precise").otherwise(a("place.tier")).alias("geo_tier"),
-        F.when(a("has_position"), "source").otherwise(a("place.source")).alias("geo_source"),
-        a("place.policy").alias("geo_policy"),
-        a("place.scope").alias("geo_scope"),
-        a("place.evidence").alias("geo_evidence"),
-        "media_image",
-        "video_url",
-        seen.isNull().alias("date_defaulted"),
-        F.when(a("gate").isNotNull(), a("gate"))
-        .when(~a("has_position") & a("place").isNull(), "dropped:location")
-        .when(a("url") == "", "dropped:url")
-        .alias("gate"),
-    )
-    broken = F.get(event_violations(), F.lit(0))
-    outcome = F.when(a("gate").isNotNull(), a("gate")).otherwise(
-        F.coalesce(F.concat(F.lit("rejected:"), broken), F.lit("accepted"))
+        "seq", "t", "summary", "url", "media_image", "video_url",
+        text.classify_severity(F.col("title"), F.col("tone")).alias("sev"),
+        F.when(F.col("src0") == "", urls.outlet_host(F.col("url"))).otherwise(F.col("src0")).alias("src"),
+        scoring.quality(F.col("raw_title"), F.col("domain"), F.col("tone"), F.col("socialimage")).alias("quality"),
+        *map(F.expr, (
+            "substring(title, 1, 200) AS title",
+            "substring(CASE WHEN has_position THEN concat_ws(', ', place_name, country) ELSE place.loc END, 1, 80) AS loc",
+            "CASE WHEN has_position THEN lat0 ELSE place.lat END AS lat",
+            "CASE WHEN has_position THEN lon0 ELSE place.lon END AS lon",
+            f"coalesce(nullif(seen, 0), {as_of_ms}L) AS ts",
+            f"{as_of_ms}L AS ingested_at",
+            "bround(tone, 1) AS tone",
+            "CASE WHEN has_position THEN 'precise' ELSE place.tier END AS geo_tier",
+            "CASE WHEN has_position THEN 'source' ELSE place.source END AS geo_source",
+            "place.policy AS geo_policy", "place.scope AS geo_scope", "place.evidence AS geo_evidence",
+            "seen IS NULL AS date_defaulted",
+            """CASE WHEN gate IS NOT NULL THEN gate WHEN NOT has_position AND place IS NULL THEN 'dropped:location'
+                    WHEN url = '' THEN 'dropped:url' END AS gate""",
+        )),
     )
+    outcome = F.coalesce("gate", F.concat(F.lit("rejected:"), F.get(event_violations(), F.lit(0))), F.lit("accepted"))
     return materialize(events, {"outcome": outcome}).drop("gate")
 
 

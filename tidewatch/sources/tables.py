@@ -42,36 +42,29 @@ class Tables:
     @cached_property
     def articles(self) -> DataFrame:
         """``documents`` as news articles with planted keywords, places and repeats."""
-        d = F.col("doc_id")
-        subject = (
-            F.when(d % 5 == 0, "Ransomware hits grid").when(d % 5 == 1, "Tanker reports piracy")
-            .when(d % 5 == 2, "Troops and artillery advance").when(d % 5 == 3, "New tariff announced")
-            .otherwise("Local sports match ends")
-        )
-        place = (
-            F.when(d % 7 == 0, " in Paris").when(d % 7 == 1, " near Kyiv").when(d % 7 == 2, " in the Red Sea")
-            .when(d % 7 == 3, " across Germany").when(d % 7 == 4, " to Tokyo").when(d % 7 == 5, " at Lagos").otherwise("")
-        )
-        unlocated = d % 14 == 0
-        published = F.lit(1_704_067_200_000) + (d % 3) * times.DAY_MS + (d % 24) * times.HOUR_MS
-        nothing = F.lit(None).cast("string")
-        return self["documents"].select(
-            d.alias("seq"),
-            F.concat(subject, place, F.lit(", report "), (d % 10).cast("string")).alias("title"),
-            F.concat(F.lit("https://www."), "source", F.lit(".example/story/"), (d % 800).cast("string")).alias("url"),
-            F.concat("source", F.lit(".example")).alias("domain"),
-            F.when(F.col("lang") == "en", "English").otherwise(F.col("lang")).alias("language"),
-            (d % 31 - 15).cast("double").cast("string").alias("tone"),
-            times.seendate(published).alias("seendate"),
-            F.struct(nothing.alias("fullName"), F.lit("xx").alias("countryCode")).alias("location"),
-            F.when(unlocated, 0.0).otherwise((d % 70 - 30).cast("double")).cast("string").alias("lat"),
-            F.when(unlocated, 0.0).otherwise((d % 70 * 2 - 70).cast("double")).cast("string").alias("long"),
-            nothing.alias("rss_topic"),
-            F.col("source").alias("rss_source"),
-            F.col("text").alias("rss_description"),
-            F.when(d % 9 == 0, F.concat(F.lit("https://img.example/"), d.cast("string"), F.lit(".jpg"))).alias("media_image"),
-            F.when(d % 11 == 0, F.concat(F.lit("https://www.youtube.com/watch?v=video"), d.cast("string"))).alias("video_url"),
-            nothing.alias("socialimage"),
+        return self["documents"].selectExpr(
+            "doc_id AS seq",
+            """CASE doc_id % 5 WHEN 0 THEN 'Ransomware hits grid' WHEN 1 THEN 'Tanker reports piracy'
+                 WHEN 2 THEN 'Troops and artillery advance' WHEN 3 THEN 'New tariff announced'
+                 ELSE 'Local sports match ends' END
+               || CASE doc_id % 7 WHEN 0 THEN ' in Paris' WHEN 1 THEN ' near Kyiv' WHEN 2 THEN ' in the Red Sea'
+                 WHEN 3 THEN ' across Germany' WHEN 4 THEN ' to Tokyo' WHEN 5 THEN ' at Lagos' ELSE '' END
+               || ', report ' || CAST(doc_id % 10 AS STRING) AS title""",
+            "'https://www.' || source || '.example/story/' || CAST(doc_id % 800 AS STRING) AS url",
+            "source || '.example' AS domain",
+            "CASE lang WHEN 'en' THEN 'English' ELSE lang END AS language",
+            "CAST(CAST(doc_id % 31 - 15 AS DOUBLE) AS STRING) AS tone",
+            """date_format(timestamp_millis(1704067200000 + doc_id % 3 * 86400000 + doc_id % 24 * 3600000),
+                 "yyyyMMdd'T'HHmmss'Z'") AS seendate""",
+            "named_struct('fullName', CAST(NULL AS STRING), 'countryCode', 'xx') AS location",
+            "CAST(CASE WHEN doc_id % 14 = 0 THEN 0.0D ELSE CAST(doc_id % 70 - 30 AS DOUBLE) END AS STRING) AS lat",
+            "CAST(CASE WHEN doc_id % 14 = 0 THEN 0.0D ELSE CAST(doc_id % 70 * 2 - 70 AS DOUBLE) END AS STRING) AS `long`",
+            "CAST(NULL AS STRING) AS rss_topic",
+            "source AS rss_source",
+            "text AS rss_description",
+            "CASE WHEN doc_id % 9 = 0 THEN 'https://img.example/' || CAST(doc_id AS STRING) || '.jpg' END AS media_image",
+            "CASE WHEN doc_id % 11 = 0 THEN 'https://www.youtube.com/watch?v=video' || CAST(doc_id AS STRING) END AS video_url",
+            "CAST(NULL AS STRING) AS socialimage",
         )
 
     @cached_property
