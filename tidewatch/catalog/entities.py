@@ -1 +1,231 @@
-"""To be filled."""
+"""Queries: entity mentions, relations, evaluation, corrections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.catalog.registry import query
+from tidewatch.operators import relate as R
+from tidewatch.operators.numbering import OrderSpan
+from tidewatch.session import durable
+
+_BODY = """
+bodies AS (
+  SELECT doc_id, text || ' Advisory CVE-2024-' || CAST(1000 + doc_id % 97 AS VARCHAR) || ' lists 10.0.' || CAST(doc_id % 50 AS VARCHAR)
+    || '.1 and 192.168.0.0/16 at host' || CAST(doc_id % 41 AS VARCHAR) || '.example.' AS body FROM documents)
+"""
+_PATTERN = "|".join(R.ENTITY_PATTERNS.values())
+
+
+def _bodies(t):
+    """Whole document texts with planted indicators at the end."""
+    return t["documents"].selectExpr(
+        "doc_id",
+        """text || ' Advisory CVE-2024-' || CAST(1000 + doc_id % 97 AS STRING) || ' lists 10.0.' || CAST(doc_id % 50 AS STRING)
+           || '.1 and 192.168.0.0/16 at host' || CAST(doc_id % 41 AS STRING) || '.example.' AS body""",
+    )
+
+
+_FOUND = f"""
+found AS (
+  SELECT doc_id, raw, i, parts FROM (
+    SELECT doc_id, regexp_extract_all(body, '{_PATTERN}') AS raws, string_split_regex(body, '{_PATTERN}') AS parts FROM bodies)
+  , LATERAL (SELECT unnest(raws) AS raw, generate_subscripts(raws, 1) AS i)),
+placed AS (
+  SELECT f.doc_id, f.raw, CAST(list_sum(list_transform(f.parts[1:f.i], lambda p: length(p))) AS BIGINT) AS gaps, f.i,
+    CAST(coalesce(sum(length(f.raw)) OVER (PARTITION BY f.doc_id ORDER BY f.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM found f)
+"""
+_KIND = "CASE " + " ".join(f"WHEN regexp_full_match(raw, '{p}') THEN '{k}'" for k, p in R.ENTITY_PATTERNS.items()) + " END"
+
+
+@query(
+    "entity_mentions",
+    f"""SELECT doc_id, {_KIND} AS kind, raw, gaps + before AS start FROM placed""",
+    ctes=(_BODY, _FOUND),
+)
+def entity_mentions(t):
+    return R.entity_mentions(_bodies(t), "doc_id", "body").select("doc_id", "kind", "raw", F.col("start").cast("long").alias("start"))
+
+
+@query(
+    "address_scopes",
+    """SELECT doc_id, raw, CASE WHEN regexp_matches(raw, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2\\d|3[01])\\.)') THEN 'private'
+         WHEN regexp_matches(raw, '^127\\.') THEN 'loopback' WHEN regexp_matches(raw, '^(0\\.|169\\.254\\.|22[4-9]\\.|2[3-5]\\d\\.)') THEN 'reserved'
+         ELSE 'global' END AS scope FROM found WHERE regexp_full_match(raw, '\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}')""",
+    ctes=(_BODY, _FOUND),
+)
+def address_scopes(t):
+    found = R.entity_mentions(_bodies(t), "doc_id", "body").filter(F.col("kind") == "ip")
+    return found.select("doc_id", "raw", R.address_scope(F.col("raw")).alias("scope"))
+
+
+# Reports with their subject entities: one CVE and one address each, and one address everybody shares.
+# Report times are 40 minutes apart, so a 30-day window holds 1080 of them.
+_SUBJECTS = """
+facts AS (
+  SELECT doc_id AS id, 1704067200000 + doc_id * 2400000 AS ts, source AS t, lang AS region FROM documents),
+subjects AS (
+  SELECT doc_id AS id, 1704067200000 + doc_id * 2400000 AS ts, 'cve' AS kind, 'CVE-2024-' || CAST(1000 + doc_id % 97 AS VARCHAR) AS value FROM documents
+  UNION ALL SELECT doc_id, 1704067200000 + doc_id * 2400000, 'ip', '10.0.' || CAST(doc_id % 3 AS VARCHAR) || '.1' FROM documents
+  UNION ALL SELECT doc_id, 1704067200000 + doc_id * 2400000, 'organization', 'org' || CAST(doc_id % 7 AS VARCHAR) FROM documents),
+generic AS (SELECT kind, value FROM subjects GROUP BY ALL HAVING count(*) > 0.2 * (SELECT count(*) FROM documents)),
+specific AS (SELECT s.*, row_number() OVER (PARTITION BY kind, value ORDER BY id) AS position FROM subjects s ANTI JOIN generic USING (kind, value)),
+pairs AS (
+  SELECT a.id, a.ts, b.id AS other_id, b.ts AS other_ts, a.kind, a.value FROM specific a JOIN specific b
+    ON a.kind = b.kind AND a.value = b.value AND a.position - b.position BETWEEN 1 AND 200
+    AND a.ts - b.ts <= CASE WHEN a.kind = 'cve' THEN 365 ELSE 30 END * CAST(86400000 AS BIGINT))
+"""
+
+
+def _subjects(t):
+    rows = t["documents"].selectExpr(
+        "doc_id AS id", "1704067200000 + doc_id * 2400000 AS ts", "doc_id AS ord",
+        """inline(array(
+             struct('cve' AS kind, 'CVE-2024-' || CAST(1000 + doc_id % 97 AS STRING) AS value),
+             struct('ip' AS kind, '10.0.' || CAST(doc_id % 3 AS STRING) || '.1' AS value),
+             struct('organization' AS kind, 'org' || CAST(doc_id % 7 AS STRING) AS value)))""",
+    )
+    return R.specific_entities(rows, t["documents"].count())
+
+
+def _pairs(t):
+    return R.candidate_pairs(_subjects(t), OrderSpan("ord", t.doc_span.low, t.doc_span.high))
+
+
+@query("entity_candidates", "SELECT id, other_id, kind, value FROM pairs", ctes=(_SUBJECTS,))
+def entity_candidates(t):
+    return _pairs(t).select("id", "other_id", "kind", "value")
+
+
+_RANKED = """
+scored AS (
+  SELECT p.id, p.other_id, p.other_ts, p.base + CASE WHEN a.t = b.t THEN 10 ELSE 0 END
+      + CASE WHEN abs(a.ts - b.ts) <= 604800000 THEN 10 ELSE 0 END + CASE WHEN a.region = b.region THEN 5 ELSE 0 END AS score
+  FROM (SELECT id, other_id, max(other_ts) AS other_ts, max(CASE kind WHEN 'cve' THEN 60 WHEN 'ip' THEN 50 ELSE 35 END) AS base FROM pairs GROUP BY ALL) p
+  JOIN facts a ON a.id = p.id JOIN facts b ON b.id = p.other_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_ts DESC, other_id) AS rank FROM scored WHERE score >= 45)
+"""
+
+
+def _related(t):
+    facts = t["documents"].selectExpr("doc_id AS id", "source AS t", "lang AS region")
+    return R.rank_relations(_pairs(t), facts)
+
+
+@query(
+    "related_events",
+    "SELECT id, other_id, rank, score FROM ranked WHERE rank <= 5",
+    ctes=(_SUBJECTS, _RANKED),
+)
+def related_events(t):
+    return _related(t).select("id", "other_id", "rank", "score")
+
+
+@query(
+    "relation_metrics",
+    """SELECT count(*) AS queries, CAST(sum(cards) AS BIGINT) AS returned, CAST(sum(hits) AS BIGINT) AS relevant,
+         round(sum(hits) / sum(cards), 6) AS precision_returned, round(count(*) FILTER (WHERE cards > 0) / count(*), 6) AS coverage,
+         round(count(*) FILTER (WHERE quality = 1 AND hits > 0) / count(*) FILTER (WHERE quality = 1), 6) AS eligible_coverage,
+         round(sum(hits) / (3 * count(*)), 6) AS slot_precision
+       FROM (SELECT l.doc_id, l.quality, count(r.id) AS cards, count(r.id) FILTER (WHERE o.toxic = 0) AS hits
+             FROM labels l LEFT JOIN ranked r ON r.id = l.doc_id AND r.rank <= 3 LEFT JOIN labels o ON o.doc_id = r.other_id
+             GROUP BY l.doc_id, l.quality)""",
+    ctes=(_SUBJECTS, _RANKED),
+)
+def relation_metrics(t):
+    """Labelled documents as queries; a returned document is relevant when labelled not toxic."""
+    labels = t["labels"]
+    good = labels.select(F.col("doc_id").alias("other_id"), (F.col("toxic") == 0).alias("relevant"))
+    returned = _related(t).join(good, "other_id", "left").select(
+        F.col("id").alias("query_id"), "rank", F.coalesce("relevant", F.lit(False)).alias("relevant")
+    )
+    queries = labels.select(F.col("doc_id").alias("query_id"), (F.col("quality") == 1).alias("has_target"))
+    metrics = R.relation_metrics(returned, queries)
+    rounded = ("precision_returned", "coverage", "eligible_coverage", "slot_precision")
+    return metrics.select("queries", "returned", "relevant", *(F.round(c, 6).alias(c) for c in rounded))
+
+
+@query(
+    "mention_metrics",
+    f"""SELECT count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE labelled) AS labelled,
+          count(*) FILTER (WHERE accepted AND labelled) AS correct,
+          round(count(*) FILTER (WHERE accepted AND labelled) / count(*) FILTER (WHERE accepted), 6) AS precision,
+          round(count(*) FILTER (WHERE accepted AND labelled) / count(*) FILTER (WHERE labelled), 6) AS recall
+        FROM (SELECT doc_id, value, bool_or(a) AS accepted, bool_or(b) AS labelled FROM (
+          SELECT DISTINCT doc_id, lower(raw) AS value, true AS a, false AS b FROM found WHERE {_KIND} = 'domain'
+          UNION ALL SELECT doc_id, 'host' || CAST(doc_id % 41 AS VARCHAR) || '.example', false, true FROM documents) GROUP BY ALL)""",
+    ctes=(_BODY, _FOUND),
+)
+def mention_metrics(t):
+    found = R.entity_mentions(_bodies(t), "doc_id", "body").filter(F.col("kind") == "domain")
+    labelled = t["documents"].selectExpr("doc_id", "'host' || CAST(doc_id % 41 AS STRING) || '.example' AS value")
+    m = R.mention_metrics(found, labelled, ["doc_id", "value"])
+    return m.select("accepted", "labelled", "correct", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(
+    "leakage_split",
+    """SELECT doc_id, CASE WHEN p < 60 THEN 'train' WHEN p < 80 THEN 'dev' ELSE 'test' END AS part FROM (
+         SELECT doc_id, CAST('0x' || substr(sha1(trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'))), 1, 8) AS BIGINT) % 100 AS p FROM documents)""",
+)
+def leakage_split(t):
+    """Documents equal up to case and punctuation fall on the same side."""
+    cluster = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""))
+    return t["documents"].select("doc_id", R.leakage_safe_split(cluster).alias("part"))
+
+
+@query(
+    "timeline_entries",
+    """SELECT user_id, entry, rank, total > 20 AS truncated FROM (
+         SELECT user_id, event_id AS entry, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank,
+                count(*) OVER (PARTITION BY user_id) AS total
+         FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ts FROM events)) WHERE rank <= 20""",
+)
+def timeline_entries(t):
+    entries = t.stream_events.select("user_id", F.col("ts").alias("observed_at"), F.col("id").alias("entry_uid"))
+    return R.timeline(entries, "user_id").select("user_id", F.col("entry_uid").alias("entry"), "rank", "truncated")
+
+
+_CORRECTED = """
+gone AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 19 = 0),
+finals AS (
+  SELECT c_custkey AS old_id, CASE WHEN (c_custkey + 1) % 4 = 2 AND c_custkey % 4 = 1 AND EXISTS (SELECT 1 FROM customer d WHERE d.c_custkey = c.c_custkey + 1)
+    THEN c_custkey + 2 ELSE c_custkey + 1 END AS final_id FROM customer c WHERE c_custkey % 4 IN (1, 2))
+"""
+
+
+@query(
+    "corrections_applied",
+    """SELECT id, count(*) AS orders FROM (
+         SELECT coalesce(f.final_id, o.o_custkey) AS id FROM orders o LEFT JOIN finals f ON f.old_id = o.o_custkey
+         WHERE o.o_custkey NOT IN (SELECT id FROM gone)) WHERE id NOT IN (SELECT id FROM gone) GROUP BY id""",
+    ctes=(_CORRECTED,),
+)
+def corrections_applied(t):
+    """Customers as events: every 19th retracted, 4k+1 merged into 4k+2 and that into 4k+3; orders are their sources."""
+    c = F.col("c_custkey")
+    customers = t["customer"]
+    merges = customers.filter((c % 4).isin(1, 2)).select(c.alias("old_id"), (c + 1).alias("new_id"))
+    lineage = R.resolve_lineage(merges)
+    events = customers.select(c.alias("id"))
+    sources = t["orders"].select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"))
+    _, moved = R.apply_corrections(events, sources, customers.filter(c % 19 == 0).select(c.alias("id")), lineage)
+    return moved.groupBy("id").agg(F.count("*").alias("orders"))
+
+
+@query(
+    "stale_edges",
+    """SELECT l_partkey, l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+       WHERE l_partkey % 50 = 0 OR l_suppkey % 40 = 0""",
+)
+def stale_edges(t):
+    """Part-supplier edges touched by corrected parts or suppliers."""
+    edges = durable(t["lineitem"].select(F.col("l_partkey").alias("left_id"), (-F.col("l_suppkey")).alias("right_id")).distinct())
+    parts = edges.filter(F.col("left_id") % 50 == 0).select(F.col("left_id").alias("id"))
+    suppliers = edges.filter(F.col("right_id") % 40 == 0).select(F.col("right_id").alias("id"))
+    stale = R.stale_edges(edges, parts.unionByName(suppliers))
+    return stale.select(F.col("left_id").alias("l_partkey"), (-F.col("right_id")).alias("l_suppkey"))
+
+

@@ -146,9 +146,9 @@ def index_violations(entries: DataFrame) -> DataFrame:
     def repeated(column: str, rule: str) -> DataFrame:
         return (
             entries.groupBy("release_uid", column)
-            .agg(F.count("*").alias("n"), F.min("event_id").alias("event_id"))
+            .agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
             .filter("n > 1")
-            .select("release_uid", "event_id", F.lit(rule).alias("rule"))
+            .select("release_uid", F.col("first_id").alias("event_id"), F.lit(rule).alias("rule"))
         )
 
     return (
