@@ -7,6 +7,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _number_text(value: float) -> str:
@@ -20,7 +21,7 @@ def _number_text(value: float) -> str:
     return f"{mantissa}e{int(exponent):+d}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _exact_number(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else _number_text(float(v)))
 

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewatch.functions import vocabulary as V
 
@@ -86,7 +87,7 @@ def strip_markup(markup: Column) -> Column:
     return F.regexp_replace(spaced, r"<[^>]+>", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 

@@ -48,7 +48,8 @@ def merge_reports(
     supplies its fields, and ids are dense from ``next_id`` in arrival order.
     """
     fresh = story_key(unseen_urls(reports, sources))
-    known = first_per(story_key(events).select("story_key", "id", "live_rank"), ["story_key"], F.col("live_rank"))
+    known = first_per(story_key(events).select("story_key", "id", "live_rank"), ["story_key"],
+                      F.col("live_rank").asc(), F.col("id").desc())
     openers = first_per(fresh, ["story_key"], F.col("seq")).join(known, "story_key", "left_anti")
     new_events = number(openers, span, "id", start=next_id)
     owner = known.select("story_key", "id").unionByName(new_events.select("story_key", "id"))

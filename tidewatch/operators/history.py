@@ -207,7 +207,8 @@ def source_health(observed: DataFrame, run_uid: str, failed: list[str], enabled:
     """One row per enabled or failed provider of a run: failed, ok (any article) or empty."""
     counts = observed.groupBy("provider").agg(F.count("*").alias("n"))
     names = sorted({*enabled, *failed})
-    registry = observed.sparkSession.createDataFrame([(n, n in failed) for n in names], "provider string, failed boolean")
+    rows = F.array(*(F.struct(F.lit(n).alias("provider"), F.lit(n in failed).alias("failed")) for n in names))
+    registry = observed.sparkSession.range(1).select(F.inline(rows))
     return registry.join(counts, "provider", "left").select(
         F.lit(run_uid).alias("run_uid"),
         "provider",
