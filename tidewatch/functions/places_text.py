@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import gazetteer_values as G
 from tidewatch.functions import vocabulary as V
-from tidewatch.functions.staging import materialize
+from tidewatch.functions.staging import gaps_of, marked_split, matches_of, materialize
 from tidewatch.functions.text import strip
 
 _ENTRY = "struct<lat:double,lon:double,country:string,scope:string,label:string,rank:int>"
@@ -45,15 +45,24 @@ class Gazetteer:
         entries = {name: {**table[name], "rank": i} for i, name in enumerate(ordered)}
         object.__setattr__(self, "entries", entries)
 
+    def _alternatives(self) -> str:
+        """The names, longest first, behind a one-letter test so that most positions try few of them."""
+        by_letter: dict[str, list[str]] = {}
+        for name in self.entries:
+            quoted = re.escape(name).replace(r"\ ", " ")
+            exact = f"(?-i:{quoted})" if name in self.exact_case else quoted
+            by_letter.setdefault(name[0].lower(), []).append(exact)
+        return "|".join(f"(?={letter})(?:{'|'.join(names)})" for letter, names in by_letter.items())
+
     @property
     def pattern(self) -> str:
-        """Any dictionary name standing as a whole word, longest alternative first."""
-
-        def alternative(name: str) -> str:
-            quoted = re.escape(name).replace(r"\ ", " ")
-            return f"(?-i:{quoted})" if name in self.exact_case else quoted
+        """Any dictionary name standing as a whole word."""
+        return rf"(?iU)(?<!\w)(?:{self._alternatives()})(?!\w)"
 
-        return r"(?iU)(?<!\w)(?:" + "|".join(map(alternative, self.entries)) + r")(?!\w)"
+    @property
+    def located_pattern(self) -> str:
+        """A name right after a locative phrase: what a text must contain to be located at all."""
+        return rf"(?iU)\b(?:{V.LOCATIVES})\s+(?:the\s+)?(?:{self._alternatives()})(?!\w)"
 
     def lookup(self) -> Column:
         """Lower-cased name to entry, folded to a literal by the optimizer."""
@@ -79,10 +88,10 @@ def mentions(df: DataFrame, text: str, out: str, gazetteer: Gazetteer | None = N
     """
     gazetteer = gazetteer or Gazetteer()
     n, g, lookup = f"{out}_names", f"{out}_gaps", f"{out}_lookup"
-    pattern = F.lit(gazetteer.pattern)
-    split = materialize(
-        df, {n: F.regexp_extract_all(F.col(text), pattern, F.lit(0)), g: F.split(F.col(text), gazetteer.pattern, -1)}
-    ).withColumn(lookup, gazetteer.lookup())
+    pieces = f"{out}_pieces"
+    split = materialize(df, {pieces: marked_split(F.col(text), gazetteer.pattern)})
+    split = materialize(split, {n: matches_of(pieces), g: gaps_of(pieces)}).drop(pieces)
+    split = split.withColumn(lookup, gazetteer.lookup())
     start = f"{_lengths(f'slice({g}, 1, i + 1)')} + {_lengths(f'slice({n}, 1, i)')}"
     # Two names and three gaps hold at least the two words the guards look at.
     right = f"concat_ws('', get({g}, i + 1), get({n}, i + 1), get({g}, i + 2), get({n}, i + 2), get({g}, i + 3))"
@@ -147,14 +156,20 @@ def locate(
 
     ``when`` limits the work to the rows that need it.
     """
+    gazetteer = gazetteer or Gazetteer()
     need = F.lit(True) if when is None else when
-    df = mentions(df.withColumn("__text", F.when(need, F.col(title))), "__text", "__h", gazetteer).drop("__text")
+
+    def candidate(text: Column, wanted: Column) -> Column:
+        # Without a name after a locative phrase there is no locus, so the full scan is skipped.
+        return F.when(wanted & text.rlike(gazetteer.located_pattern), text)
+
+    df = mentions(materialize(df, {"__text": candidate(F.col(title), need)}), "__text", "__h", gazetteer).drop("__text")
     df = _picked(df, "__h", _COORDINATES, contradictions=True)
     found = _located("__h_pick", "title")
     if summary is not None:
         lede = strip(F.coalesce(F.col(summary), F.lit("")))
         wanted = need & F.col("__h_pick").isNull() & (F.length(lede) >= V.LEDE_MIN_CHARS)
-        df = mentions(df.withColumn("__text", F.when(wanted, lede)), "__text", "__l", gazetteer)
+        df = mentions(materialize(df, {"__text": candidate(lede, wanted)}), "__text", "__l", gazetteer)
         df = _picked(df, "__l", "m.place.country", contradictions=False)
         found = f"coalesce({found}, {_located('__l_pick', 'summary')})"
     scratch = [f"__{tier}{part}" for tier in "hl" for part in ("", "_gaps", "_pick")]

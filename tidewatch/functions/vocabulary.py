@@ -58,7 +58,8 @@ EMERGING_MS = 48 * 3_600_000
 RANGE_DAYS = {"24h": 1, "7d": 7, "30d": 30}
 
 # Place-name context: phrases that make a mention a location, and suffixes that unmake it.
-LOCATIVE_PATTERN = r"(?iU)\b(?:in|at|near|off|across|inside|outside|within|via)\s+(?:the\s+)?$"
+LOCATIVES = "in|at|near|off|across|inside|outside|within|via"
+LOCATIVE_PATTERN = rf"(?iU)\b(?:{LOCATIVES})\s+(?:the\s+)?$"
 ADDRESS_PATTERN = r"(?iU)^\s+(?:road|street|avenue|drive|lane|boulevard|way|rd|st|ave)\b"
 NAME_CONTINUES_PATTERN = r"(?U)^\s++[A-Z][a-z]++(?!\s+[A-Z][a-z]+)"
 JOINED_PATTERN = r"(?iU)\b(?:and|or)\b|/|&"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scoring, text, times
+from tidewatch.functions.staging import spread
 from tidewatch.operators.normalize import accepted, normalize
 from tidewatch.operators.numbering import OrderSpan
 from tidewatch.session import configure
@@ -29,12 +30,14 @@ class Tables:
         self.spark, self.directory = configure(spark), directory.rstrip("/")
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        # Text work is bound by cores, so a table of few row groups is spread over them first.
+        return spread(table) if name in ("documents", "pages") else table
 
     @cached_property
     def doc_span(self) -> OrderSpan:
         """Extent of ``doc_id``; a one-column pass over ``documents``."""
-        return OrderSpan.of(self["documents"], "doc_id")
+        return OrderSpan.of(self.spark.read.parquet(f"{self.directory}/documents.parquet"), "doc_id")
 
     def seq_span(self) -> OrderSpan:
         return OrderSpan("seq", self.doc_span.low, self.doc_span.high, self.doc_span.ranges)
