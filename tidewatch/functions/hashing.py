@@ -12,10 +12,10 @@ from pyspark.sql.types import StringType
 
 def _number_text(value: float) -> str:
     """Shortest decimal text: no exponent from 1e-6 up to 1e21, no trailing ``.0``."""
-    if value == int(value) and abs(value) < 1e21:
-        return str(int(value))
+    if value == 0:
+        return "0"
     if 1e-6 <= abs(value) < 1e21:
-        return format(Decimal(repr(value)), "f")
+        return format(Decimal(repr(value)), "f").removesuffix(".0")
     mantissa, exponent = f"{Decimal(repr(value)):e}".split("e")
     mantissa = mantissa.rstrip("0").rstrip(".") if "." in mantissa else mantissa
     return f"{mantissa}e{int(exponent):+d}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo
 from tidewatch.functions import vocabulary as V
+from tidewatch.functions.staging import materialize
 from tidewatch.operators.numbering import top_per
 
 # Order of the fields in one state vector.
@@ -30,40 +31,37 @@ def valid_fixes(states: DataFrame, clock_ms: Column) -> DataFrame:
     ``states`` has the text columns of :func:`state_columns`, ``n_fields`` and ``pos``
     (input order); ``clock_ms`` is the batch clock, not the wall clock.
     """
-    c = F.col
-
-    def number(name: str, default: float | None = None) -> Column:
-        value = c(name).try_cast("double")
-        return value if default is None else F.when(c(name).isNull(), default).otherwise(value)
-
-    lon, lat, alt = number("lon"), number("lat"), number("baro_altitude", -90.0)
-    speed, track = number("velocity", 0.0), number("true_track", 0.0)
-    contact_ms = c("last_contact").try_cast("double").cast("long") * 1000
-    age = clock_ms - contact_ms
-    finite = F.lit(True)
-    for value in (lon, lat, alt, speed, track):
-        finite = finite & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    usable = (
-        (c("n_fields") >= MIN_STATE_FIELDS)
-        & finite
-        & geo.valid_coordinates(lat, lon)
-        & (alt >= V.FIX_MIN_ALT_M)
-        & (contact_ms > 0)
-        & age.between(-V.FIX_MAX_AHEAD_MS, V.FIX_MAX_AGE_MS)
+    # Each field is read several times by the checks, so it is parsed once per row.
+    parsed = materialize(
+        states.withColumn("clock", clock_ms),
+        {
+            "x": F.expr("try_cast(lon AS DOUBLE)"),
+            "y": F.expr("try_cast(lat AS DOUBLE)"),
+            "alt": F.expr("CASE WHEN baro_altitude IS NULL THEN -90.0D ELSE try_cast(baro_altitude AS DOUBLE) END"),
+            "velo": F.expr("CASE WHEN velocity IS NULL THEN 0.0D ELSE try_cast(velocity AS DOUBLE) END"),
+            "track": F.expr("CASE WHEN true_track IS NULL THEN 0.0D ELSE try_cast(true_track AS DOUBLE) END"),
+            "contact_ms": F.expr("CAST(try_cast(last_contact AS DOUBLE) AS BIGINT) * 1000"),
+            "ident": F.expr("lower(trim(icao24))"),
+        },
     )
-    ident = F.lower(F.trim("icao24"))
-    anonymous = F.concat(F.lit("anon-"), F.pmod(F.xxhash64(lon, lat), F.lit(10**8)).cast("string"))
-    return states.filter(F.coalesce(usable, F.lit(False))).select(
+    # Comparisons with null or NaN are not true (NaN sorts above every number), so finiteness needs no test of its own
+    # beyond an upper bound.
+    usable = f"""
+      n_fields >= {MIN_STATE_FIELDS} AND abs(alt) < double('Infinity') AND abs(velo) < double('Infinity')
+      AND abs(track) < double('Infinity') AND alt >= {V.FIX_MIN_ALT_M} AND contact_ms > 0
+      AND clock - contact_ms BETWEEN -{V.FIX_MAX_AHEAD_MS} AND {V.FIX_MAX_AGE_MS}"""
+    anonymous = "'anon-' || CAST(pmod(xxhash64(x, y), 100000000) AS STRING)"
+    return parsed.filter(F.expr(usable) & geo.valid_coordinates(F.col("x"), F.col("y"))).select(
         "pos",
-        F.substring(F.when(F.coalesce(ident, F.lit("")) == "", anonymous).otherwise(ident), 1, 9).alias("id"),
-        F.nullif(F.substring(F.trim("callsign"), 1, 16), F.lit("")).alias("callsign"),
-        F.nullif(F.substring("origin_country", 1, 24), F.lit("")).alias("country"),
-        F.bround(lon, 4).alias("lon"),
-        F.bround(lat, 4).alias("lat"),
-        F.bround(alt, 0).cast("int").alias("alt_m"),
-        F.nullif(F.bround(speed, 1), F.lit(0.0)).alias("speed"),
-        geo.heading(track).alias("heading"),
-        clock_ms.alias("clock"),
+        F.expr(f"substring(CASE WHEN coalesce(ident, '') = '' THEN {anonymous} ELSE ident END, 1, 9)").alias("id"),
+        F.expr("nullif(substring(trim(callsign), 1, 16), '')").alias("callsign"),
+        F.expr("nullif(substring(origin_country, 1, 24), '')").alias("country"),
+        F.bround("x", 4).alias("lon"),
+        F.bround("y", 4).alias("lat"),
+        F.bround("alt", 0).cast("int").alias("alt_m"),
+        F.nullif(F.bround("velo", 1), F.lit(0.0)).alias("speed"),
+        geo.heading(F.col("track")).alias("heading"),
+        "clock",
     )
 
 

@@ -41,6 +41,10 @@ class Warehouse:
         wanted = F.col("sequence") <= last if sequence is None else (F.col("sequence") == sequence) & F.lit(sequence <= last)
         return self._load(table).filter(wanted)
 
+    def ledger(self, table: str) -> DataFrame:
+        """A ledger that is valid row by row, without waiting for a publication."""
+        return self._load(table).drop("sequence")
+
     def write(self, table: str, rows: DataFrame, sequence: int) -> DataFrame:
         """Write one sequence of a table and return it read back, free of its lineage."""
         columns = [c.split(" ")[0] for c in _split_ddl(TABLES[table])]

@@ -35,6 +35,7 @@ TABLES = {
     "failed_sources array<string>, ingested bigint, deduped bigint, merged bigint, rejected bigint, events bigint, "
     "topic_cyber bigint, topic_geopolitical bigint, topic_maritime bigint, topic_military bigint, severity_critical bigint, "
     "severity_escalating bigint, severity_watching bigint, severity_deesc bigint, pulse bigint",
+    "layer_pointers": "name string, stamp bigint, objects bigint",
     "publications": "publication_uid string, state string, payload_hash string, logged_at bigint",
 }
 

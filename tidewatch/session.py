@@ -1,8 +1,9 @@
-"""Session settings the library relies on, and durable lineage cuts."""
+"""Session settings the library relies on, and durable intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +37,24 @@ def build_session(app: str = "tidewatch", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder so lost executors cost no recomputation."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local run without one gets its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewatch-ckpt-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            folder = tempfile.mkdtemp(prefix="tidewatch-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, and continue from the written table.
+
+    Lost executors then cost no recomputation, and later steps still prune columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidewatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

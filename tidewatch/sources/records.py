@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import times
 from tidewatch.functions import vocabulary as V
+from tidewatch.functions.staging import materialize
 from tidewatch.operators.tracks import TRAIL, state_columns
 
 ARTICLE = (
@@ -90,7 +91,7 @@ def with_provider(articles: DataFrame, use_second: bool) -> DataFrame:
 def state_rows(documents: DataFrame, body: str, *carried: str) -> DataFrame:
     """State vectors of ``{"time": s, "states": [[...]]}`` bodies with their batch clock in ms."""
     schema = "time bigint, states array<array<string>>"
-    parsed = documents.select(*carried, F.from_json(F.col(body), schema).alias("doc"))
+    parsed = materialize(documents.select(*carried, body), {"doc": F.from_json(F.col(body), schema)})
     rows = parsed.select(*carried, F.col("doc.time").alias("time"), F.posexplode("doc.states").alias("pos", "vector"))
     return rows.select(
         *carried, "pos", (F.col("time") * 1000).alias("clock"), F.size("vector").alias("n_fields"), *state_columns(F.col("vector"))
