@@ -51,7 +51,7 @@ def valid_fixes(states: DataFrame, clock_ms: Column) -> DataFrame:
       AND abs(track) < double('Infinity') AND alt >= {V.FIX_MIN_ALT_M} AND contact_ms > 0
       AND clock - contact_ms BETWEEN -{V.FIX_MAX_AHEAD_MS} AND {V.FIX_MAX_AGE_MS}"""
     anonymous = "'anon-' || CAST(pmod(xxhash64(x, y), 100000000) AS STRING)"
-    return parsed.filter(F.expr(usable) & geo.valid_coordinates(F.col("x"), F.col("y"))).select(
+    return parsed.filter(F.expr(usable) & geo.valid_coordinates(F.col("y"), F.col("x"))).select(
         "pos",
         F.expr(f"substring(CASE WHEN coalesce(ident, '') = '' THEN {anonymous} ELSE ident END, 1, 9)").alias("id"),
         F.expr("nullif(substring(trim(callsign), 1, 16), '')").alias("callsign"),
