@@ -198,7 +198,12 @@ def mapping_checksum(t):
     return history.mapping_checksum(history.import_mapping(t.reports.select("id"), "first"))
 
 
-@query("content_fingerprint")
+@query(
+    "content_fingerprint",
+    """SELECT p_partkey, sha256('{"name":"' || p_name || '","price":' || CASE WHEN p_retailprice = floor(p_retailprice)
+         THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE CAST(p_retailprice AS VARCHAR) END
+         || ',"size":' || CAST(p_size AS VARCHAR) || ',"type":"' || p_type || '"}') AS fingerprint FROM part""",
+)
 def content_fingerprint(t):
     c = F.col
     return t["part"].select(
