@@ -79,11 +79,11 @@ def best_fix(t):
 
 @query(
     "aircraft_by_altitude",
-    "SELECT id, pos, alt_m FROM fixes ORDER BY alt_m DESC, pos LIMIT 100",
+    "SELECT id, pos, alt_m FROM fixes ORDER BY alt_m DESC, pos",
     ctes=(O.FIXES,),
 )
 def aircraft_by_altitude(t):
-    return tracks.by_altitude(t.fixes).limit(100).select("id", "pos", "alt_m")
+    return tracks.by_altitude(t.fixes).select("id", "pos", "alt_m")
 
 
 def _cycle_fixes(t):
