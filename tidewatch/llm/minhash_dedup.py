@@ -1,15 +1,16 @@
 """MinHash near-dedup: universal hash minima in bands, signature and full-set verification, star components.
 
 Every row ends in one class of equal shingle sets, and only one representative per class goes on, so exact
-copies cost one row however many there are. Representatives that share a band are first compared with the
-bucket's smallest member only (a star, one row per band); confirmed links form components; then members of
-a bucket that are still in different components are compared with each other, so that no link is lost when
-the smallest member is not the one that links them. Pairs inside a component are never formed.
+copies cost one row however many there are. Representatives that share a band bucket are not paired with each
+other: in each turn every bucket draws one center from its largest component, every member outside that
+component is tried once, with the center (of all its buckets) whose signature agrees best, and confirmed links merge components.
+When a turn adds nothing, the members that are still apart from their bucket's largest component are compared with all
+others there, so that no link is lost. Pairs inside a component are never formed.
 
 Defined results: a null or blank text has an empty set and is its own component; a null doc_id is never
 linked and is kept, with a null component; rows that repeat a doc_id count as one document; fewer words than
 a shingle form one shingle. A pair at the threshold is missed by all bands with a probability of 1e-6, by
-the signature check with 1e-7.
+the signature check with 5e-6.
 """
 
 from __future__ import annotations
@@ -21,19 +22,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Words, mix, pieces, starts_of, table_batch
+from tidewatch.llm.common import BATCH_BYTES, Words, mix, pieces, starts_of, table_batch
 from tidewatch.session import durable
 
 
+#: Up to so many ids are broadcast to fetch their texts.
+IDS_BROADCAST = 2_000_000
+
+
 @dataclass(frozen=True)
 class MinHash:
-    """``percent``: link when 100 * intersection >= percent * union. ``agree``: least equal signature bits."""
+    """``percent``: link when 100 * intersection >= percent * union. ``agree``: least equal signature bits.
+    ``turns``: most rounds of centers before the members left are compared one by one.
+    ``fine``: signature bits of those; a pair at the threshold is missed with a probability of 4e-6."""
 
     shingle: int = 5
     percent: int = 80
     bands: int = 30
     rows: int = 4
-    agree: int = 92
+    agree: int = 93
+    turns: int = 3
+    fine: int = 1536
     seed: int = 20_240_917
 
     def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
@@ -105,32 +114,40 @@ def sketch(docs: DataFrame, p: MinHash) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
-def _sizes_fit(p: MinHash, x: str, y: str):
-    return (100 * F.least(x, y) >= p.percent * F.greatest(x, y))
+def _sizes_fit(p: MinHash):
+    return 100 * F.least("n", "c_n") >= p.percent * F.greatest("n", "c_n")
+
+
+def _may_link(p: MinHash):
+    """A pair (n, s0, s1) and (c_n, c_s0, c_s1) whose sizes and signatures leave the threshold possible."""
+    agree = p.bands * p.rows - F.bit_count(F.col("s0").bitwiseXOR(F.col("c_s0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("c_s1")))
+    return _sizes_fit(p) & (agree >= p.agree), agree
 
 
-def _agreement(p: MinHash):
-    return p.bands * p.rows - F.bit_count(F.col("s0").bitwiseXOR(F.col("c_s0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("c_s1")))
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents, written once for all verifications. Up to ``IDS_BROADCAST`` ids travel to the
+    texts; beyond, both are shuffled."""
+    few = ids.count() <= IDS_BROADCAST
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return durable(rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, p: MinHash) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, p: MinHash) -> DataFrame:
     """Keep the pairs (doc_id, other) whose full shingle sets reach the threshold."""
+    out = pa.schema([("doc_id", pa.int64()), ("other", pa.int64())])
 
     def run(batches):
-        out = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64()))])
-        for rows, texts in pieces(batches):
-            sets = shingle_sets(texts, p.shingle)
-            ends = starts_of([len(s) for s in sets]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield table_batch(out, [rows.column(0), lists])
+        for rows, left in pieces(batches, "x", BATCH_BYTES // 2):
+            for part, right in pieces(iter([rows.append_column("at", pa.array(np.arange(rows.num_rows)))]), "y", BATCH_BYTES // 2):
+                at = part.column(part.num_columns - 1).to_pylist()
+                one, two = shingle_sets([left[i] for i in at], p.shingle), shingle_sets(right, p.shingle)
+                shared = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(one, two)]
+                linked = pa.array([100 * i >= p.percent * (len(a) + len(b) - i) for i, a, b in zip(shared, one, two)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=out).filter(linked)
 
-    ids = pairs.select(F.col("doc_id").alias("id")).union(pairs.select("other")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = durable(texts.mapInArrow(run, "id long, items array<long>"))
-    left = pairs.join(sets.select(F.col("id").alias("doc_id"), F.col("items").alias("x")), "doc_id")
-    both = left.join(sets.select(F.col("id").alias("other"), F.col("items").alias("y")), "other")
-    shared = both.select("doc_id", "other", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t"))
-    return shared.filter(100 * F.col("i") >= p.percent * (F.col("t") - F.col("i"))).select("doc_id", "other")
+    first = pairs.join(texts.select("doc_id", F.col("text").alias("x")), "doc_id")
+    both = first.join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("y")), "other")
+    return both.select("doc_id", "other", "x", "y").mapInArrow(run, "doc_id long, other long")
 
 
 def star_components(edges: DataFrame, u: str, v: str) -> DataFrame:
@@ -159,41 +176,98 @@ def star_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def fine_signatures(texts: DataFrame, p: MinHash) -> DataFrame:
+    """doc_id and ``fine`` one-bit minima as columns f0, f1, … of 64 bits."""
+    words = p.fine // 64
+    draw = np.random.default_rng(p.seed + 1).integers(0, 2**64, (2, p.fine), np.uint64)
+    out = pa.schema([("doc_id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(words))])
+
+    def run(batches):
+        a, b = draw[0] | np.uint64(1), draw[1]
+        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        for rows, raw in pieces(batches):
+            sets = shingle_sets(raw, p.shingle)
+            packed = np.zeros((len(sets), words), np.uint64)
+            for i, s in enumerate(sets):
+                for at in range(0, p.fine, 128):
+                    bits = minima(s, a[at : at + 128], b[at : at + 128]) & np.uint64(1)
+                    packed[i, at // 64 : at // 64 + 2] = (bits.reshape(2, 64) * weights).sum(axis=1)
+            yield table_batch(out, [rows.column(0), *(pa.array(c) for c in packed.view(np.int64).T)])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(words)))
+
+
+def _fine_fits(p: MinHash):
+    """Of a pair with f0, … and c_f0, …: equal bits leave the threshold possible."""
+    differ = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"c_f{i}"))) for i in range(1, p.fine // 64)), F.bit_count(F.col("f0").bitwiseXOR(F.col("c_f0"))))
+    equal = (1 + p.percent / 100) / 2
+    return p.fine - differ >= int(p.fine * equal - 4.5 * (p.fine * equal * (1 - equal)) ** 0.5)
+
+
+def _open(members: DataFrame, salt: int) -> DataFrame:
+    """The members (key, doc_id, n, s0, s1, component) of buckets that hold several components, with the ``major`` one."""
+    members = members.drop("major")
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("size"))
+    top = F.max(F.struct("size", F.xxhash64("key", "component", F.lit(salt)), "component"))
+    majors = parts.groupBy("key").agg(F.count("*").alias("parts"), top.alias("top")).filter("parts > 1")
+    return durable(members.join(majors.select("key", F.col("top.component").alias("major")), "key"))
+
+
+def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    found = members.drop("component").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return found.withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def linked_components(docs: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame:
+    """(node, component) of representatives that link to others."""
+    banded = reps.select("doc_id", "n", "s0", "s1", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    members = durable(banded.join(shared, "key").withColumn("component", F.col("doc_id")))
+    texts = texts_of(docs, durable(members.select("doc_id").distinct()))
+    fits, agree = _may_link(p)
+    center = [F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc_id", "n", "s0", "s1")]
+    links = labels = None
+    for turn in range(p.turns):
+        members = _open(members, turn)
+        drawn = F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)), "doc_id", "n", "s0", "s1"))
+        centers = members.filter("component = major").groupBy("key").agg(drawn.alias("c")).select("key", *center)
+        tries = members.filter("component <> major").join(centers, "key").filter(fits)
+        best = tries.groupBy("doc_id").agg(F.max(F.struct(agree.alias("a"), F.col("c_doc_id").alias("other"))).alias("b"))
+        found = durable(verified(texts, best.select("doc_id", F.col("b.other").alias("other")), p))
+        none = found.isEmpty()
+        if not none:
+            links = found if links is None else links.union(found)
+            labels = star_components(links, "doc_id", "other")
+            members = _relabelled(members, labels)
+        if none:
+            break
+    # What is left: members still apart from their bucket's major component, against all others.
+    members = _open(members, p.turns)
+    left = members.select("doc_id").distinct()
+    signed = durable(fine_signatures(texts.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"]), p))
+    members = members.drop("s0", "s1").join(signed, "doc_id")
+    named = ["doc_id", "n", "component", *signed.columns[1:]]
+    others = members.select("key", *(F.col(x).alias(f"c_{x}") for x in named))
+    ordered = (F.col("c_component") == F.col("major")) | (F.col("doc_id") < F.col("c_doc_id"))
+    apart = (F.col("component") != F.col("c_component")) & ordered & _sizes_fit(p) & _fine_fits(p)
+    minor = members.filter("component <> major").join(others, "key").filter(apart)
+    pairs = durable(minor.select("doc_id", F.col("c_doc_id").alias("other")).distinct())
+    if not pairs.isEmpty():
+        found = durable(verified(texts, pairs, p))
+        if not found.isEmpty():
+            labels = star_components(found if links is None else links.union(found), "doc_id", "other")
+    if labels is None:
+        return reps.sparkSession.createDataFrame([], "node long, component long")
+    return labels
+
+
 def near_dedup(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept: one row per input row."""
     sketched = durable(sketch(docs, p))
     real = sketched.filter("n > 0 AND doc_id IS NOT NULL")
     same = [F.first(c).alias(c) for c in ("s0", "s1", "bands")]
     reps = real.groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("doc_id"), *same)
-    banded = reps.select("doc_id", "n", "s0", "s1", F.explode("bands").alias("key"))
-    centers = banded.groupBy("key").agg(F.min(F.struct("doc_id", "n", "s0", "s1")).alias("c"), F.count("*").alias("members"))
-    centers = centers.filter("members > 1").select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc_id", "n", "s0", "s1")))
-    shared = durable(banded.join(centers, "key"))
-
-    stars = shared.filter("doc_id <> c_doc_id").filter(_sizes_fit(p, "n", "c_n")).withColumn("agree", _agreement(p)).filter(F.col("agree") >= p.agree)
-    best = stars.groupBy("doc_id").agg(F.max(F.struct("agree", (-F.col("c_doc_id")).alias("o"))).alias("b"))
-    links = durable(verified(docs, durable(best.select("doc_id", (-F.col("b.o")).alias("other"))), p))
-    labels = star_components(links, "doc_id", "other")
-
-    marked = shared.select("key", "doc_id", "n", "s0", "s1").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    marked = durable(marked.withColumn("component", F.coalesce("component", "doc_id")))
-    open_keys = (
-        marked.groupBy("key", "component").agg(F.count("*").alias("members")).groupBy("key")
-        .agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("top")).filter("parts > 1")
-        .select("key", F.col("top.component").alias("major"))
-    )
-    rest = durable(marked.join(open_keys, "key"))
-    minor = rest.filter("component <> major")
-    others = rest.select("key", *(F.col(x).alias(f"c_{x}") for x in ("doc_id", "n", "s0", "s1", "component")))
-    across = minor.join(
-        others,
-        (minor["key"] == others["key"]) & (F.col("component") != F.col("c_component")) & _sizes_fit(p, "n", "c_n") & (_agreement(p) >= p.agree)
-        & ((F.col("c_component") == F.col("major")) | (F.col("doc_id") < F.col("c_doc_id"))),
-    )
-    across = durable(across.select("doc_id", F.col("c_doc_id").alias("other")).distinct())
-    if not across.isEmpty():
-        labels = star_components(links.union(verified(docs, across, p)), "doc_id", "other")
-
+    labels = linked_components(docs, reps, p)
     classes = reps.select("n", "k0", "k1", F.col("doc_id").alias("rep"))
     placed = sketched.select("doc_id", "n", "k0", "k1").join(classes, ["n", "k0", "k1"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

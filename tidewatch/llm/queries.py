@@ -14,7 +14,7 @@ BPE_RANKS, BPE_PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTER
 
 
 def op1_minhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    p = minhash_dedup.MinHash(shingle=3, percent=85, bands=24, rows=5, agree=96)
+    p = minhash_dedup.MinHash(shingle=3, percent=85, bands=24, rows=5, agree=98)
     return minhash_dedup.near_dedup(read_table(spark, directory, "documents"), p)
 
 
