@@ -245,13 +245,16 @@ def linked_components(docs: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame
     members = _open(members, p.turns)
     left = members.select("doc_id").distinct()
     signed = durable(fine_signatures(texts.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"]), p))
+    signed = durable(signed.join(reps.select("doc_id", "bands"), "doc_id"))
     members = members.drop("s0", "s1").join(signed, "doc_id")
     named = ["doc_id", "n", "component", *signed.columns[1:]]
     others = members.select("key", *(F.col(x).alias(f"c_{x}") for x in named))
     ordered = (F.col("c_component") == F.col("major")) | (F.col("doc_id") < F.col("c_doc_id"))
-    apart = (F.col("component") != F.col("c_component")) & ordered & _sizes_fit(p) & _fine_fits(p)
+    # A pair counts in the smallest of the buckets it shares.
+    once = F.col("key") == F.array_min(F.array_intersect("bands", "c_bands"))
+    apart = (F.col("component") != F.col("c_component")) & ordered & _sizes_fit(p) & _fine_fits(p) & once
     minor = members.filter("component <> major").join(others, "key").filter(apart)
-    pairs = durable(minor.select("doc_id", F.col("c_doc_id").alias("other")).distinct())
+    pairs = durable(minor.select("doc_id", F.col("c_doc_id").alias("other")))
     if not pairs.isEmpty():
         found = durable(verified(texts, pairs, p))
         if not found.isEmpty():
