@@ -9,7 +9,7 @@ from tests.helpers import AS_OF, article, batch
 from tidewatch.operators import checks, corroborate, relate, spatial, tracks
 from tidewatch.operators.normalize import accepted, normalize
 from tidewatch.operators.numbering import OrderSpan, number, number_within
-from tidewatch.streaming.trails import stream_trails
+from tidewatch.streaming.trails import advance_trails, stream_trails, trails_path
 
 
 def test_numbering_is_dense_for_a_hot_key_and_any_partitioning(spark):
@@ -50,49 +50,62 @@ def test_merge_equals_a_plain_loop_at_any_partitioning(spark):
         assert got == want
 
 
-def _loop_trail(fixes, policy):
-    trail = []
-    for ts, lon, lat in sorted(fixes):
-        trail = [p for p in trail if p[2] >= ts - policy.max_age_ms][-policy.points:]
-        last = trail[-1] if trail else None
-        if last is None or abs(last[0] - lon) > policy.min_move or abs(last[1] - lat) > policy.min_move or ts - last[2] >= policy.max_age_ms // 8:
-            trail = (trail + [(lon, lat, ts)])[-policy.points:]
-    return trail
-
-
-def _fixes():
-    rng = random.Random(3)
-    return [(f"a{i % 5}", minute * 60_000 + 600_000, round(rng.choice([1.0, 1.00001, 1.1]), 5), round(rng.choice([2.0, 2.1]), 1))
-            for i in range(5) for minute in range(16) if rng.random() < 0.8]
-
-
-def test_trails_fold_like_a_loop(spark):
-    rows, policy = _fixes(), tracks.TrailPolicy()
-    df = spark.createDataFrame(rows, "id string, clock long, lon double, lat double")
-    as_of = max(r[1] for r in rows)
-    got = {r["id"]: [tuple(p) for p in r["trail"]] for r in tracks.fold_trails(df, as_of, policy).collect()}
-    ids = {r[0] for r in rows}
-    assert got == {i: _loop_trail([(c, x, y) for k, c, x, y in rows if k == i and c >= as_of - policy.max_age_ms], policy) for i in ids}
-
-
-def test_streamed_trails_equal_the_fold(spark, folder):
-    rows, policy = _fixes(), tracks.TrailPolicy()
-    schema = "id string, clock long, lon double, lat double"
-    middle = sorted(r[1] for r in rows)[len(rows) // 2]
-    for name, part in (("1", [r for r in rows if r[1] <= middle]), ("2", [r for r in rows if r[1] > middle])):
-        spark.createDataFrame(part, schema).coalesce(1).write.json(f"{folder}/in/{name}")
-    fixes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(f"{folder}/in")
-    query = (
-        stream_trails(fixes, policy).writeStream.format("memory").queryName("trails").outputMode("update")
-        .option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
-    )
+FIXES = "id string, clock long, lon double, lat double"
+MINUTE = 60_000
+
+
+def _trails(rows):
+    return {r["id"]: [(p["ts"] // MINUTE, p["lon"]) for p in r["trail"]] for r in rows}
+
+
+def test_trail_cases(spark):
+    """Moves are kept, standing still is kept only when the last point grows old, and old points go."""
+    steps = {
+        "moves": [(0, 1.0), (1, 1.1), (2, 1.2)],
+        "stands": [(0, 1.0), (1, 1.00001), (2, 1.0), (3, 1.0)],
+        "returns": [(0, 1.0), (14, 1.1), (16, 1.2)],
+        "many": [(m, 1.0 + m / 10) for m in range(12)],
+    }
+    rows = [(i, m * MINUTE, x, 2.0) for i, points in steps.items() for m, x in points]
+    fixes = spark.createDataFrame(rows, FIXES)
+    assert _trails(tracks.fold_trails(fixes, 15 * MINUTE).collect()) == {
+        "moves": steps["moves"], "stands": [(0, 1.0), (2, 1.0)], "returns": [(0, 1.0), (14, 1.1)], "many": steps["many"][-8:],
+    }
+
+
+def test_trail_properties_hold_in_the_fold_and_in_the_stream(spark, folder):
+    rng, policy = random.Random(3), tracks.TrailPolicy()
+    rows = [(f"a{i}", m * MINUTE, rng.choice([1.0, 1.00001, 1.1]), rng.choice([2.0, 2.1])) for i in range(5) for m in range(16)]
+    for name, wanted in (("1", range(8)), ("2", range(8, 16))):
+        spark.createDataFrame([r for r in rows if r[1] // MINUTE in wanted], FIXES).coalesce(1).write.json(f"{folder}/in/{name}")
+    fixes = spark.readStream.schema(FIXES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(f"{folder}/in")
+    query = stream_trails(fixes, f"{folder}/trails").option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
     try:
         assert query.awaitTermination(150)
     finally:
         query.stop()
-    newest = spark.table("trails").groupBy("id").agg(F.max(F.struct("clock", "trail")).alias("m")).select("id", "m.trail")
-    got = {r["id"]: [tuple(p) for p in r["trail"]] for r in newest.collect()}
-    assert got == {i: _loop_trail([(c, x, y) for k, c, x, y in rows if k == i], policy) for i in {r[0] for r in rows}}
+    streamed = spark.read.parquet(trails_path(f"{folder}/trails", 1)).collect()
+    folded = tracks.fold_trails(spark.createDataFrame(rows, FIXES), 15 * MINUTE).collect()
+    assert {r["id"]: r["trail"] for r in streamed} == {r["id"]: r["trail"] for r in folded}
+    for r in folded:
+        stamps = [p["ts"] for p in r["trail"]]
+        assert 1 <= len(stamps) <= policy.points and stamps == sorted(set(stamps)) and stamps[0] >= 15 * MINUTE - policy.max_age_ms
+        for p, q in zip(r["trail"], r["trail"][1:]):
+            assert max(abs(p["lon"] - q["lon"]), abs(p["lat"] - q["lat"])) > policy.min_move or q["ts"] - p["ts"] >= policy.max_age_ms // 8
+
+
+def test_objects_a_cycle_does_not_see_are_dropped(spark, folder):
+    for number, rows in enumerate([[("a", 0, 1.0, 2.0), ("b", 0, 1.0, 2.0)], [("a", MINUTE, 1.1, 2.0)]]):
+        advance_trails(spark.createDataFrame(rows, FIXES), folder, number)
+    assert _trails(spark.read.parquet(trails_path(folder, 1)).collect()) == {"a": [(0, 1.0), (1, 1.1)]}
+
+
+def test_arrival_order_counts_batches_before_places(spark):
+    sources = spark.createDataFrame([(7, 1, 50, "https://a.example/1"), (7, 2, 1, "https://a.example/2")], "id long, origin long, seq long, url string")
+    hints = spark.createDataFrame([("https://a.example/1", "early.jpg", None), ("https://a.example/2", "late.jpg", "v")], "url string, image string, video_url string")
+    events = spark.createDataFrame([(7, None, None)], "id long, image string, video_url string")
+    assert corroborate.media_hints(sources, hints, events).first() == (7, "early.jpg", "v")
+    assert corroborate.outlets(sources).select("host", "first_origin", "first_seq").first() == ("a.example", 1, 50)
 
 
 def _km(x1, y1, x2, y2):

@@ -193,7 +193,19 @@ def import_mapping(t):
     return history.import_mapping(events, "first", before).select("id", "conflict")
 
 
-@query("mapping_checksum")
+_UID = (
+    "substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' "
+    "|| substr('89ab', CAST(CAST('0x' || substr(d, 17, 1) AS BIGINT) % 4 + 1 AS BIGINT), 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12)"
+)
+_FOLDS = " || ':' || ".join(f"bit_xor(CAST('0x' || substr(h, {i}, 15) AS BIGINT))" for i in (1, 16, 31, 46))
+
+
+@query(
+    "mapping_checksum",
+    f"""SELECT count(*) AS n, sha256(count(*) || ':' || sum(id) || ':' || {_FOLDS}) AS checksum
+       FROM (SELECT id, sha256(id || '=' || {_UID}) AS h FROM (SELECT id, sha1('event|' || id) AS d FROM reports))""",
+    ctes=O.REPORT_CTES,
+)
 def mapping_checksum(t):
     return history.mapping_checksum(history.import_mapping(t.reports.select("id"), "first"))
 

@@ -71,14 +71,17 @@ def source_totals(sources: DataFrame) -> DataFrame:
     )
 
 
+def _arrival(sources: DataFrame) -> list[str]:
+    """Order of source rows: ``seq`` starts anew in every batch, so the batch (``origin``) comes first where it is known."""
+    return [c for c in ("origin", "seq") if c in sources.columns]
+
+
 def outlets(sources: DataFrame) -> DataFrame:
-    """Distinct reporting hosts per event with the place of their first appearance."""
+    """Distinct reporting hosts per event with the place (batch, if known, and ``seq``) of their first appearance."""
     host = F.lower(urls.outlet_host(F.col("url")))
-    return (
-        sources.filter(urls.is_http(F.col("url")))
-        .groupBy("id", host.alias("host"))
-        .agg(F.min("seq").alias("first_seq"))
-    )
+    order = _arrival(sources)
+    first = sources.filter(urls.is_http(F.col("url"))).groupBy("id", host.alias("host")).agg(F.min(F.struct(*order)).alias("first"))
+    return first.select("id", "host", *(F.col(f"first.{c}").alias(f"first_{c}") for c in order))
 
 
 def with_scores(events: DataFrame, totals: DataFrame, as_of_ms: int) -> DataFrame:
@@ -108,13 +111,13 @@ def backfill_scores(events: DataFrame, as_of_ms: int) -> DataFrame:
 
 
 def media_hints(sources: DataFrame, hints: DataFrame, events: DataFrame) -> DataFrame:
-    """Image and video per event: what it already has, else the first non-empty hint in URL order."""
-    matched = sources.join(hints, "url")
+    """Image and video per event: what it already has, else the first non-empty hint in order of arrival."""
+    matched, order = sources.join(hints, "url"), _arrival(sources)
     image = F.nullif(F.trim("image"), F.lit(""))
     video = F.nullif(F.trim("video_url"), F.lit(""))
     first = matched.groupBy("id").agg(
-        F.min(F.when(image.isNotNull(), F.struct("seq", image.alias("value")))).value.alias("hint_image"),
-        F.min(F.when(video.isNotNull(), F.struct("seq", video.alias("value")))).value.alias("hint_video"),
+        F.min(F.when(image.isNotNull(), F.struct(*order, image.alias("value")))).value.alias("hint_image"),
+        F.min(F.when(video.isNotNull(), F.struct(*order, video.alias("value")))).value.alias("hint_video"),
     )
     return events.join(first, "id", "left").select(
         "id",

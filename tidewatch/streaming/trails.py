@@ -1,60 +1,38 @@
-"""Trails as keyed streaming state, with the rules of the batch fold."""
+"""Trails of a stream of fixes, kept as a table that each micro-batch replaces."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tidewatch.operators.tracks import TrailPolicy
-
-OUTPUT = "id string, clock bigint, trail array<struct<lon:double,lat:double,ts:bigint>>"
-_STATE = "lon array<double>, lat array<double>, ts array<bigint>"
-
-
-class TrailProcessor(StatefulProcessor):
-    """Keeps the last few points of each object; state never exceeds ``policy.points``."""
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-    def __init__(self, policy: TrailPolicy):
-        self.policy = policy
+from tidewatch.operators.tracks import TRAIL, TrailPolicy, update_trails
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getValueState("points", _STATE)
+_SCHEMA = f"id string, clock bigint, trail {TRAIL}"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        policy = self.policy
-        stored = self.points.get() if self.points.exists() else None
-        trail = list(zip(*stored, strict=True)) if stored else []
-        # One fix per object and cycle reaches this operator, in chunks; order is by clock.
-        fixes = sorted(
-            fix for chunk in rows for fix in chunk[["clock", "lon", "lat"]].itertuples(index=False, name=None)
-        )
-        for clock, lon, lat in fixes:
-            trail = [p for p in trail if p[2] >= clock - policy.max_age_ms][-policy.points:]
-            last = trail[-1] if trail else None
-            moved = last is None or abs(last[0] - lon) > policy.min_move or abs(last[1] - lat) > policy.min_move
-            if moved or clock - last[2] >= policy.max_age_ms // 8:
-                trail = [*trail, (float(lon), float(lat), int(clock))][-policy.points:]
-        lons, lats, stamps = (list(x) for x in zip(*trail, strict=True))
-        self.points.update((lons, lats, stamps))
-        points = [{"lon": a, "lat": b, "ts": c} for a, b, c in trail]
-        yield pd.DataFrame({"id": [key[0]], "clock": [fixes[-1][0]], "trail": [points]})
 
-    def close(self) -> None:
-        pass
+def trails_path(root: str, batch_id: int) -> str:
+    return f"{root}/batch-{batch_id:012d}"
 
 
-def stream_trails(cycle_fixes: DataFrame, policy: TrailPolicy | None = None) -> DataFrame:
-    """Trail of every object seen in a batch. Needs the RocksDB state store.
+def advance_trails(fixes: DataFrame, root: str, batch_id: int, policy: TrailPolicy | None = None) -> None:
+    """Write the trails after one micro-batch from those after the batch before.
 
-    Feed it one fix per object and cycle: batches are cut at cycle boundaries, so the
-    rows of one key in one batch are bounded by the cycles the batch covers.
+    Cycles of the batch follow each other by clock; their number is bounded by what the batch covers. A repeated
+    batch writes the same folder again, so a restart changes nothing. Objects that a cycle does not see are dropped.
     """
-    return cycle_fixes.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=TrailProcessor(policy or TrailPolicy()), outputStructType=OUTPUT, outputMode="Update", timeMode="None",
-    )
+    spark = fixes.sparkSession
+    trails = spark.read.schema(_SCHEMA).parquet(trails_path(root, batch_id - 1)) if batch_id else spark.createDataFrame([], _SCHEMA)
+    for row in fixes.select("clock").distinct().orderBy("clock").collect():
+        seen = fixes.filter(F.col("clock") == row.clock).select("id", "clock", "lon", "lat")
+        trails = update_trails(seen, trails, policy).select("id", "clock", "trail")
+    trails.write.mode("overwrite").parquet(trails_path(root, batch_id))
+
+
+def stream_trails(cycle_fixes: DataFrame, root: str, policy: TrailPolicy | None = None) -> DataStreamWriter:
+    """A writer that keeps the trail table below ``root`` (a shared folder) up to date. Feed it one fix per object and cycle,
+    in batches cut at cycle boundaries."""
+    return cycle_fixes.writeStream.foreachBatch(lambda batch, number: advance_trails(batch, root, number, policy))
 
 
 def within_clock(fixes: DataFrame, contact: str = "last_contact", delay: str = "60 seconds") -> DataFrame:
