@@ -194,3 +194,16 @@ def test_a_named_batch_takes_effect_once(spark, folder):
     run_cycle(spark, folder, rows, AS_OF, PLAIN, token="ingest:0")
     again = run_cycle(spark, folder, rows, AS_OF, PLAIN, token="ingest:0")
     assert again == {"sequence": 1, "repeated": True} and Warehouse(spark, folder).committed() == 1
+
+
+def test_fold_remembers_what_the_live_view_no_longer_shows(spark, folder):
+    """Refetched articles and a late copy of events beyond the live limit meet their stories."""
+    policy = Policy(mode="legacy", live_limit=2)
+    stories = [article(i, f"Ransomware attack number {w} stops a brewery", f"https://one.example/{i}") for i, w in enumerate(("alpha", "beta", "gamma", "delta", "omega"))]
+    first = run_cycle(spark, folder, Batch(batch(spark, *stories)), AS_OF, policy)
+    again = run_cycle(spark, folder, Batch(batch(spark, *stories)), AS_OF + 60_000, policy)
+    late = [article(i, f"Ransomware attack number {w} stops a brewery", f"https://two.example/{i}") for i, w in enumerate(("alpha", "omega"))]
+    third = run_cycle(spark, folder, Batch(batch(spark, *late)), AS_OF + 120_000, policy)
+    assert first["events"] == again["events"] == third["events"] == 2
+    assert again["deduped"] == 5 and again["next_event_id"] == first["next_event_id"] == third["next_event_id"]
+    assert third["merged"] == 2 and third["deduped"] == 0

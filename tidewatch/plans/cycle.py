@@ -65,7 +65,8 @@ def run_cycle(spark: SparkSession, root: str, batch: Batch, as_of_ms: int, polic
     sequence = house.committed() + 1
     uid = token or f"publication-{sequence:012d}"
     manifest = current_manifest(house)
-    events, sources = current_state(house, manifest)
+    # The fold remembers every event and URL; the live limit only bounds what is published.
+    events, sources = full_state(house, manifest)
     refuse_unsafe(events, policy.gazetteer)
     if batch.succeeded == 0:
         return _retain(house, manifest, sequence, uid, batch, as_of_ms, policy)
@@ -127,6 +128,12 @@ def current_manifest(house: Warehouse) -> dict:
     return found.asDict() if found else {"last_sync": 0, "last_attempt": 0, "next_event_id": 1, "state_sequence": 0}
 
 
+def full_state(house: Warehouse, manifest: dict) -> tuple[DataFrame, DataFrame]:
+    """All events of the newest state and all their sources: what a new batch is folded into."""
+    at = manifest["state_sequence"]
+    return house.read("events", at).drop("sequence"), house.read("event_sources", at).drop("sequence")
+
+
 def current_state(house: Warehouse, manifest: dict, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Live events of the newest state and the sources of exactly those events."""
     at = manifest["state_sequence"]

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import vocabulary as V
 from tidewatch.functions.places_text import Gazetteer
 from tidewatch.operators import views
 from tidewatch.operators.audit import geo_audit
-from tidewatch.plans.cycle import commit, current_manifest, current_state
+from tidewatch.plans.cycle import commit, current_manifest, full_state
 from tidewatch.plans.warehouse import Warehouse, table_digest
 
 
 def reaudit(spark: SparkSession, root: str, audits: str, as_of_ms: int, gazetteer: Gazetteer | None = None) -> dict:
-    """Re-derive every live location, keep the evidence, and publish what is still supported.
+    """Re-derive every location, keep the evidence, and publish what is still supported.
 
     The audit is stored under the digest of its input, so running it twice on the same
     state cannot overwrite evidence of another state. Fetch clocks and the id high-water
@@ -21,7 +22,7 @@ def reaudit(spark: SparkSession, root: str, audits: str, as_of_ms: int, gazettee
     """
     house = Warehouse(spark, root)
     manifest = current_manifest(house)
-    events, sources = current_state(house, manifest)
+    events, sources = full_state(house, manifest)
     digest = events.agg(table_digest(events)).first()[0]
     folder = f"{audits}/input_sha={digest}"
     geo_audit(events, gazetteer).write.mode("overwrite").parquet(f"{folder}/records")
@@ -35,7 +36,8 @@ def reaudit(spark: SparkSession, root: str, audits: str, as_of_ms: int, gazettee
     sequence = house.committed() + 1
     stored = house.write("events", kept, sequence)
     house.write("event_sources", sources.join(stored.select("id"), "id", "left_semi"), sequence)
-    row = {**manifest, **views.manifest_counts(stored).first().asDict(), "state_sequence": sequence}
+    live = views.live_events(stored, manifest.get("events") or V.LIVE_EVENTS)
+    row = {**manifest, **views.manifest_counts(live).first().asDict(), "state_sequence": sequence}
     row.pop("sequence", None)
-    commit(house, sequence, f"publication-{sequence:012d}", row, stored, as_of_ms, gazetteer=gazetteer)
+    commit(house, sequence, f"publication-{sequence:012d}", row, live, as_of_ms, gazetteer=gazetteer)
     return {"sequence": sequence, "input_sha": digest, "actions": tally}
