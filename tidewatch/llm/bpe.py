@@ -45,7 +45,7 @@ class Bpe:
     """``ranks``: id of each byte string, every single byte included; lower ids merge first."""
 
     #: Chunks whose ids are kept in memory; beyond that the kept ones are forgotten.
-    KEPT = 250_000
+    KEPT = 600_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
