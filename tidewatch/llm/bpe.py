@@ -44,11 +44,13 @@ def load(path: str, pattern: str) -> "Bpe":
 class Bpe:
     """``ranks``: id of each byte string, every single byte included; lower ids merge first."""
 
-    #: Chunks whose ids are kept in memory; beyond that the kept ones are forgotten.
-    KEPT = 600_000
+    #: Chunks whose ids are kept in memory, and the most characters of each; beyond that the kept ones are forgotten.
+    KEPT, KEPT_CHARS = 600_000, 40
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.pattern = regex.compile(pattern)
+        #: Ids are held as packed 32-bit numbers: as Python objects they would take several times the memory.
+        self.whole = {token: np.int32(rank).tobytes() for token, rank in ranks.items()}
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -58,14 +60,14 @@ class Bpe:
             if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None
         ]
         self.keys, self.merged = np.array(sorted(pairs), np.int64).reshape(-1, 2).T.copy()
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys.take(at) == key, self.merged.take(at), _NONE)
 
-    def _merge(self, texts: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def _merge(self, texts: list[bytes], width: int) -> list[bytes]:
         """BPE of byte strings of 2 to ``width`` bytes, side by side; ``width`` is a power of two.
 
         A symbol is addressed by ``row * width + position``; one cell past the end stands for "no neighbour".
@@ -121,13 +123,13 @@ class Bpe:
             left = before.take(at)
             left = left[left < last]
             put(left, pair(left))
-        merged = ids[:last][live].tolist()
-        ends = np.cumsum(live.reshape(n, width).sum(axis=1)).tolist()
-        return [tuple(merged[x:y]) for x, y in zip([0, *ends], ends)]
+        merged = ids[:last][live].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(live.reshape(n, width).sum(axis=1))).tolist()
+        return [merged[x:y] for x, y in zip([0, *ends], ends)]
 
-    def encode_pieces(self, texts: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of pieces that the pattern has cut already; a piece that is a token as a whole is that token."""
-        out: list[tuple[int, ...] | None] = [(self.ranks[t],) if t in self.ranks else None if t else () for t in texts]
+    def encode_pieces(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces that the pattern has cut already; a piece that is a token as a whole is that token."""
+        out: list[bytes | None] = [self.whole.get(t) if t else b"" for t in texts]
         groups: dict[int, list[int]] = {}
         for i, found in enumerate(out):
             if found is None:
@@ -140,13 +142,13 @@ class Bpe:
                     out[i] = ids
         return out
 
-    def _encode_whole(self, texts: list[str]) -> list[tuple[int, ...]]:
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(t) for t in texts]
         distinct = list(set(chain.from_iterable(cut)))
         ids = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct])))
-        return [tuple(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
+        return [b"".join(map(ids.__getitem__, c)) for c in cut]
 
-    def _encode_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks that begin with a space; all are cut in one call, with a blank between them that no match joins."""
         plain = [c for c in chunks if _BETWEEN not in c]
         found = self.pattern.findall(_BETWEEN.join(plain))
@@ -155,18 +157,22 @@ class Bpe:
         out, now = [], []
         for piece in found:
             if piece == _BETWEEN:
-                out.append(tuple(now))
+                out.append(b"".join(now))
                 now = []
             else:
-                now += ids[piece]
-        out.append(tuple(now))
+                now.append(ids[piece])
+        out.append(b"".join(now))
         done = dict(zip(plain, out))
         odd = [c for c in chunks if _BETWEEN in c]
         done.update(zip(odd, self._encode_whole(odd)))
         return [done[c] for c in chunks]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. No match of the pattern crosses from a non-blank to a following space, so a text is
+        """Ids of each text."""
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text. No match of the pattern crosses from a non-blank to a following space, so a text is
         encoded by its space-separated chunks, each distinct chunk once; a text with other blanks next to a
         space, or at its ends, is cut as a whole."""
         split = {i: t.split(" ") for i, t in enumerate(texts) if t and not _LOOSE.search(t)}
@@ -175,63 +181,86 @@ class Bpe:
         if len(self.kept) + len(missing) > self.KEPT:  # what this batch uses again is likely to be frequent
             self.kept = {c: self.kept[c] for c in needed & self.kept.keys()}
         self.kept.update(zip(missing, self._encode_chunks([f" {c}" for c in missing])))
-        out: list[list[int]] = [[] for _ in texts]
+        out = [b""] * len(texts)
         firsts = self._encode_whole([c[0] for c in split.values()])
         for (i, chunks), first in zip(split.items(), firsts):
-            out[i] = list(chain(first, chain.from_iterable(map(self.kept.__getitem__, chunks[1:]))))
+            out[i] = first + b"".join(map(self.kept.__getitem__, chunks[1:]))
+        for chunk in missing:  # long ones hardly come again, and would make the memory depend on the texts
+            if len(chunk) > self.KEPT_CHARS:
+                del self.kept[chunk]
         whole = [i for i in range(len(texts)) if i not in split]
         for i, ids in zip(whole, self._encode_whole([texts[i] for i in whole])):
-            out[i] = list(ids)
+            out[i] = ids
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind, field: pa.DataType, values) -> DataFrame:
-    """Add a column computed from one other column, batch by batch; every other column passes through."""
-    kept = [c for c in df.columns if c != name]
+def _with_columns(df: DataFrame, source: str, added: dict[str, tuple[T.DataType, pa.DataType]], values, drop: bool = False) -> DataFrame:
+    """Add columns computed from one other column, batch by batch; every other column passes through."""
+    kept = [c for c in df.columns if c not in added and not (drop and c == source)]
 
     def run(batches):
         for batch in batches:
-            for rows, column in values(batch):
-                arrays = [rows.column(i) for i in range(rows.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*arrays, column], [*kept, name])
+            for rows, columns in values(batch):
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(kept))), *columns], [*kept, *added])
+
+    fields = [T.StructField(name, kind) for name, (kind, _) in added.items()]
+    return df.select(*kept, F.col(source).alias("__in")).mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, *fields]))
+
+
+_IDS, _BYTES = (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), (T.BinaryType(), pa.binary())
 
-    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(name, kind)])
-    return df.select(*kept, F.col(source).alias("__in")).mapInArrow(run, schema)
+
+def _coded(codec: Bpe, batch: pa.RecordBatch):
+    """Runs of a batch's rows with the ids of their texts."""
+    for rows, texts in pieces(iter([batch]), "__in"):
+        coded = codec.packed([t.decode() for t in texts])
+        ends = pa.array((starts_of([len(x) for x in coded]) // 4).astype(np.int32))
+        yield rows, pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
+def _decoded(codec: Bpe, column: pa.ListArray) -> pa.Array:
+    ids, ends = column.flatten().tolist(), starts_of(pa.compute.list_value_length(column).to_pylist())
+    return pa.array([codec.decode(ids[x:y]) for x, y in zip(ends, ends[1:])], pa.binary())
 
 
 def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array of int): the text's token ids."""
 
     def values(batch):
-        codec = load(path, pattern)
-        for rows, texts in pieces(iter([batch]), "__in"):
-            coded = codec.encode([t.decode() for t in texts])
-            ends = starts_of([len(x) for x in coded]).astype(np.int32)
-            yield rows, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(coded), np.int32, ends[-1])))
+        for rows, coded in _coded(load(path, pattern), batch):
+            yield rows, [coded]
 
-    return _with_column(df, text, ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), values)
+    return _with_columns(df, text, {ids: _IDS}, values)
 
 
 def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` (binary): the bytes that the ids stand for."""
 
     def values(batch):
-        codec = load(path, pattern)
         for start in range(0, batch.num_rows, 500):
             rows = batch.slice(start, 500)
-            column = rows.column(rows.num_columns - 1).fill_null([])
-            flat, ends = column.flatten().tolist(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).to_numpy())])
-            yield rows, pa.array([codec.decode(flat[x:y]) for x, y in zip(ends, ends[1:])], pa.binary())
+            yield rows, [_decoded(load(path, pattern), rows.column(rows.num_columns - 1).fill_null([]))]
+
+    return _with_columns(df, ids, {out: _BYTES}, values)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Replace the text by its ``ids`` and the bytes decoded from them, in one pass, so that a task needs one codec."""
+
+    def values(batch):
+        codec = load(path, pattern)
+        for rows, coded in _coded(codec, batch):
+            yield rows, [coded, _decoded(codec, coded)]
 
-    return _with_column(df, ids, out, T.BinaryType(), pa.binary(), values)
+    return _with_columns(df, text, {ids: _IDS, out: _BYTES}, values, drop=True)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per document, from the ids and the bytes decoded from them."""
-    coded = decode_column(encode_column(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), path, pattern)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
