@@ -150,29 +150,27 @@ def verified(texts: DataFrame, pairs: DataFrame, p: MinHash) -> DataFrame:
     return both.select("doc_id", "other", "x", "y").mapInArrow(run, "doc_id long, other long")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """No node of the edges (u, v) has two edges down, or one down and one up."""
+    ends = edges.selectExpr("inline(array(struct(u AS node, 1 AS down, 0 AS up), struct(v AS node, 0 AS down, 1 AS up)))")
+    roles = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return roles.filter("down > 1 OR down = 1 AND up = 1").isEmpty()
+
+
 def star_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """Connected components by alternating large-star and small-star: rows (node, component), component the smallest node.
 
-    Nodes without an edge are not listed. Every round is written to the shared folder; it ends when a round
-    leaves the edges as they were.
+    Nodes without an edge are not listed. Every round is written to the shared folder; it ends when the edges are
+    stars around their smallest nodes. Equal edges of a round meet only in its last step, which makes them one.
     """
-
-    def check(df):
-        row = df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        return row[0], row[1]
-
     now = durable(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct())
-    state = check(now)
-    while state[0]:
+    while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = durable(small.filter("u <> v").distinct())
-        before, state = state, check(now)
-        if before == state:
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -218,6 +216,12 @@ def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, component) after more links; those found before go on as one edge per node."""
+    edges = links.select("doc_id", "other")
+    return star_components(edges if labels is None else edges.union(labels.select("node", "component")), "doc_id", "other")
+
+
 def linked_components(docs: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame:
     """(node, component) of representatives that link to others."""
     banded = reps.select("doc_id", "n", "s0", "s1", F.explode("bands").alias("key"))
@@ -226,7 +230,7 @@ def linked_components(docs: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame
     texts = texts_of(docs, durable(members.select("doc_id").distinct()))
     fits, agree = _may_link(p)
     center = [F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc_id", "n", "s0", "s1")]
-    links = labels = None
+    labels = None
     for turn in range(p.turns):
         members = _open(members, turn)
         drawn = F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)), "doc_id", "n", "s0", "s1"))
@@ -236,8 +240,7 @@ def linked_components(docs: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame
         found = durable(verified(texts, best.select("doc_id", F.col("b.other").alias("other")), p))
         none = found.isEmpty()
         if not none:
-            links = found if links is None else links.union(found)
-            labels = star_components(links, "doc_id", "other")
+            labels = _joined(labels, found)
             members = _relabelled(members, labels)
         if none:
             break
@@ -258,7 +261,7 @@ def linked_components(docs: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame
     if not pairs.isEmpty():
         found = durable(verified(texts, pairs, p))
         if not found.isEmpty():
-            labels = star_components(found if links is None else links.union(found), "doc_id", "other")
+            labels = _joined(labels, found)
     if labels is None:
         return reps.sparkSession.createDataFrame([], "node long, component long")
     return labels
