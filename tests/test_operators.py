@@ -162,3 +162,22 @@ def test_nothing_collects_a_hot_story(spark):
     df = spark.range(1000).select(F.concat(F.lit("u"), (F.col("id") % 3).cast("string")).alias("url"), F.col("id").alias("seq"))
     plan = corroborate.first_per_url(df)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_entities_of_every_address_form_and_ending(spark):
+    text = "See bank.co.uk, site.de, 999.999.1.1, 10.0.0.255, 10.0.0.0/8, 2001:db8::7 and 1:2:3:4:5:6:7:8 at 12:30:45."
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, body string")
+    got = {(r["kind"], r["raw"]) for r in relate.entity_mentions(df, "id", "body").collect()}
+    assert got == {
+        ("domain", "bank.co.uk"), ("domain", "site.de"), ("ip", "10.0.0.255"), ("cidr", "10.0.0.0/8"),
+        ("ip", "2001:db8::7"), ("ip", "1:2:3:4:5:6:7:8"),
+    }
+
+
+def test_only_the_newest_candidates_of_a_report_are_ranked(spark):
+    pairs = spark.createDataFrame(
+        [(9, 900, i, i * 100, "cve" if i == 1 else "ip", "v", "t", "r", "t", "r") for i in range(1, 5)],
+        "id long, ts long, other_id long, other_ts long, kind string, value string, t string, region string, other_t string, other_region string",
+    )
+    assert [r["other_id"] for r in relate.rank_relations(pairs, top=5, candidates=4).orderBy("rank").collect()] == [1, 4, 3, 2]
+    assert [r["other_id"] for r in relate.rank_relations(pairs, top=5, candidates=2).orderBy("rank").collect()] == [4, 3]

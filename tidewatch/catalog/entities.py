@@ -9,21 +9,15 @@ from tidewatch.operators import relate as R
 from tidewatch.operators.numbering import OrderSpan
 from tidewatch.session import durable
 
-_BODY = """
-bodies AS (
-  SELECT doc_id, text || ' Advisory CVE-2024-' || CAST(1000 + doc_id % 97 AS VARCHAR) || ' lists 10.0.' || CAST(doc_id % 50 AS VARCHAR)
-    || '.1 and 192.168.0.0/16 at host' || CAST(doc_id % 41 AS VARCHAR) || '.example.' AS body FROM documents)
-"""
+_PLANTED = """text || ' Advisory CVE-2024-' || CAST(1000 + doc_id % 97 AS STRING) || ' lists 10.0.' || CAST(doc_id % 50 AS STRING)
+    || '.1, 2001:db8::' || CAST(doc_id % 7 AS STRING) || ' and 192.168.0.0/16, not 999.999.1.1, at host' || CAST(doc_id % 41 AS STRING) || '.co.uk.'"""
+_BODY = f"bodies AS (SELECT doc_id, {_PLANTED} AS body FROM documents)"
 _PATTERN = "|".join(R.ENTITY_PATTERNS.values())
 
 
 def _bodies(t):
     """Whole document texts with planted indicators at the end."""
-    return t["documents"].selectExpr(
-        "doc_id",
-        """text || ' Advisory CVE-2024-' || CAST(1000 + doc_id % 97 AS STRING) || ' lists 10.0.' || CAST(doc_id % 50 AS STRING)
-           || '.1 and 192.168.0.0/16 at host' || CAST(doc_id % 41 AS STRING) || '.example.' AS body""",
-    )
+    return t["documents"].selectExpr("doc_id", f"{_PLANTED} AS body")
 
 
 _FOUND = f"""
@@ -50,9 +44,8 @@ def entity_mentions(t):
 
 @query(
     "address_scopes",
-    """SELECT doc_id, raw, CASE WHEN regexp_matches(raw, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2\\d|3[01])\\.)') THEN 'private'
-         WHEN regexp_matches(raw, '^127\\.') THEN 'loopback' WHEN regexp_matches(raw, '^(0\\.|169\\.254\\.|22[4-9]\\.|2[3-5]\\d\\.)') THEN 'reserved'
-         ELSE 'global' END AS scope FROM found WHERE regexp_full_match(raw, '\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}')""",
+    f"""SELECT doc_id, raw, CASE {" ".join(f"WHEN regexp_matches(raw, '{p}') THEN '{s}'" for s, p in R.ADDRESS_SCOPES.items())}
+         ELSE 'global' END AS scope FROM found WHERE {_KIND} = 'ip'""",
     ctes=(_BODY, _FOUND),
 )
 def address_scopes(t):
@@ -80,7 +73,7 @@ pairs AS (
 
 def _subjects(t):
     rows = t["documents"].selectExpr(
-        "doc_id AS id", "1704067200000 + doc_id * 2400000 AS ts", "doc_id AS ord",
+        "doc_id AS id", "1704067200000 + doc_id * 2400000 AS ts", "doc_id AS ord", "source AS t", "lang AS region",
         """inline(array(
              struct('cve' AS kind, 'CVE-2024-' || CAST(1000 + doc_id % 97 AS STRING) AS value),
              struct('ip' AS kind, '10.0.' || CAST(doc_id % 3 AS STRING) || '.1' AS value),
@@ -90,7 +83,7 @@ def _subjects(t):
 
 
 def _pairs(t):
-    return R.candidate_pairs(_subjects(t), OrderSpan("ord", t.doc_span.low, t.doc_span.high))
+    return R.candidate_pairs(_subjects(t), OrderSpan("ord", t.doc_span.low, t.doc_span.high), carried=("t", "region"))
 
 
 @query("entity_candidates", "SELECT id, other_id, kind, value FROM pairs", ctes=(_SUBJECTS,))
@@ -99,10 +92,13 @@ def entity_candidates(t):
 
 
 _RANKED = """
+strongest AS (
+  SELECT id, other_id, max(other_ts) AS other_ts, max(CASE kind WHEN 'cve' THEN 60 WHEN 'ip' THEN 50 ELSE 35 END) AS base FROM pairs GROUP BY ALL),
+nearest AS (SELECT * FROM strongest QUALIFY row_number() OVER (PARTITION BY id ORDER BY other_ts DESC, other_id) <= 200),
 scored AS (
   SELECT p.id, p.other_id, p.other_ts, p.base + CASE WHEN a.t = b.t THEN 10 ELSE 0 END
       + CASE WHEN abs(a.ts - b.ts) <= 604800000 THEN 10 ELSE 0 END + CASE WHEN a.region = b.region THEN 5 ELSE 0 END AS score
-  FROM (SELECT id, other_id, max(other_ts) AS other_ts, max(CASE kind WHEN 'cve' THEN 60 WHEN 'ip' THEN 50 ELSE 35 END) AS base FROM pairs GROUP BY ALL) p
+  FROM nearest p
   JOIN facts a ON a.id = p.id JOIN facts b ON b.id = p.other_id),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_ts DESC, other_id) AS rank FROM scored WHERE score >= 45)
@@ -110,8 +106,7 @@ ranked AS (
 
 
 def _related(t):
-    facts = t["documents"].selectExpr("doc_id AS id", "source AS t", "lang AS region")
-    return R.rank_relations(_pairs(t), facts)
+    return R.rank_relations(_pairs(t))
 
 
 @query(
@@ -155,12 +150,12 @@ def relation_metrics(t):
           round(count(*) FILTER (WHERE accepted AND labelled) / count(*) FILTER (WHERE labelled), 6) AS recall
         FROM (SELECT doc_id, value, bool_or(a) AS accepted, bool_or(b) AS labelled FROM (
           SELECT DISTINCT doc_id, lower(raw) AS value, true AS a, false AS b FROM found WHERE {_KIND} = 'domain'
-          UNION ALL SELECT doc_id, 'host' || CAST(doc_id % 41 AS VARCHAR) || '.example', false, true FROM documents) GROUP BY ALL)""",
+          UNION ALL SELECT doc_id, 'host' || CAST(doc_id % 41 AS VARCHAR) || '.co.uk', false, true FROM documents) GROUP BY ALL)""",
     ctes=(_BODY, _FOUND),
 )
 def mention_metrics(t):
     found = R.entity_mentions(_bodies(t), "doc_id", "body").filter(F.col("kind") == "domain")
-    labelled = t["documents"].selectExpr("doc_id", "'host' || CAST(doc_id % 41 AS STRING) || '.example' AS value")
+    labelled = t["documents"].selectExpr("doc_id", "'host' || CAST(doc_id % 41 AS STRING) || '.co.uk' AS value")
     m = R.mention_metrics(found, labelled, ["doc_id", "value"])
     return m.select("accepted", "labelled", "correct", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
@@ -168,11 +163,11 @@ def mention_metrics(t):
 @query(
     "leakage_split",
     """SELECT doc_id, CASE WHEN p < 60 THEN 'train' WHEN p < 80 THEN 'dev' ELSE 'test' END AS part FROM (
-         SELECT doc_id, CAST('0x' || substr(sha1(trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'))), 1, 8) AS BIGINT) % 100 AS p FROM documents)""",
+         SELECT doc_id, CAST('0x' || substr(sha1(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N} ]', '', 'g'))), 1, 8) AS BIGINT) % 100 AS p FROM documents)""",
 )
 def leakage_split(t):
-    """Documents equal up to case and punctuation fall on the same side."""
-    cluster = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""))
+    """Documents equal up to case and punctuation fall on the same side; letters of every script count."""
+    cluster = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N} ]", ""))
     return t["documents"].select("doc_id", R.leakage_safe_split(cluster).alias("part"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +13,28 @@ from tidewatch.functions.times import DAY_MS
 from tidewatch.operators.numbering import OrderSpan, number_within, top_per
 from tidewatch.session import durable
 
+_OCTET, _HEX = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)", "[0-9A-Fa-f]{1,4}"
+_IPV4 = rf"\b{_OCTET}(?:\.{_OCTET}){{3}}"
+# Eight groups, or k groups, a double colon and up to 7 - k more.
+_IPV6 = "|".join((
+    rf"\b(?:{_HEX}:){{7}}{_HEX}\b", *(rf"\b(?:{_HEX}:){{{k}}}(?::{_HEX}){{1,{7 - k}}}\b" for k in range(1, 7)),
+))
+
 # What each kind looks like in text. Whole words; a CIDR block is tried before a bare address.
+# A domain may end in any label of two or more letters.
 ENTITY_PATTERNS = {
     "cve": r"\bCVE-\d{4}-\d{4,}\b",
-    "cidr": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}/\d{1,2}\b",
-    "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
+    "cidr": rf"{_IPV4}/(?:3[0-2]|[12]?\d)\b",
+    "ip": rf"{_IPV4}\b|{_IPV6}",
     "asn": r"\bAS\d{1,10}\b",
-    "domain": r"\b(?:[A-Za-z0-9-]+\.)+(?:com|org|net|gov|edu|io|info|example)\b",
+    "domain": r"\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b",
+}
+
+# Scopes of addresses that are not global, in the order in which they are tried.
+ADDRESS_SCOPES = {
+    "private": r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|[Ff][CcDd][0-9A-Fa-f]{2}:)",
+    "loopback": r"^(127\.|(0{1,4}:){7}0{0,3}1$)",
+    "reserved": r"^(0\.|169\.254\.|22[4-9]\.|2[3-5]\d\.|[Ff][Ee][89ABab][0-9A-Fa-f]:|[Ff][Ff][0-9A-Fa-f]{2}:|2001:0?[Dd][Bb]8:)",
 }
 
 
@@ -36,12 +53,8 @@ def entity_kind(raw: Column) -> Column:
 
 def address_scope(value: Column) -> Column:
     """Label of an address: private, loopback, reserved or global. Nothing is discarded."""
-    return (
-        F.when(value.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"), "private")
-        .when(value.rlike(r"^127\."), "loopback")
-        .when(value.rlike(r"^(0\.|169\.254\.|22[4-9]\.|2[3-5]\d\.)"), "reserved")
-        .otherwise("global")
-    )
+    scopes = (F.when(value.rlike(pattern), scope) for scope, pattern in ADDRESS_SCOPES.items())
+    return F.coalesce(*scopes, F.lit("global"))
 
 
 def entity_mentions(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -95,11 +108,12 @@ def specific_entities(subjects: DataFrame, reports: int, share: float = V.GENERI
     return subjects.join(generic.select("kind", "value"), ["kind", "value"], "left_anti")
 
 
-def candidate_pairs(subjects: DataFrame, span: OrderSpan, limit: int = V.RELATION_CANDIDATES) -> DataFrame:
+def candidate_pairs(subjects: DataFrame, span: OrderSpan, limit: int = V.RELATION_CANDIDATES, carried: Sequence[str] = ()) -> DataFrame:
     """Each report with the up to ``limit`` reports just before it that share an entity.
 
     ``subjects``: distinct ``id, kind, value, ts, ord`` with ``ord`` a unique arrival order
-    per report that follows source time. Positions per entity turn "the ``limit`` rows
+    per report that follows source time; ``carried`` columns of both reports come along, so that
+    scoring needs no join. Positions per entity turn "the ``limit`` rows
     before" into an equi-join of blocks of ``limit`` rows, so the rows of an entity are
     never paired with each other wholesale and no task holds more than two blocks.
     """
@@ -109,30 +123,30 @@ def candidate_pairs(subjects: DataFrame, span: OrderSpan, limit: int = V.RELATIO
     later = placed.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1)))
     earlier = placed.select(
         "kind", "value", "block", F.col("id").alias("other_id"), F.col("ts").alias("other_ts"),
-        F.col("position").alias("other_position"),
+        F.col("position").alias("other_position"), *(F.col(c).alias(f"other_{c}") for c in carried),
     )
     gap = F.col("position") - F.col("other_position")
     return (
-        later.select("kind", "value", "block", "id", "ts", "position")
+        later.select("kind", "value", "block", "id", "ts", "position", *carried)
         .join(earlier, ["kind", "value", "block"])
         .filter(gap.between(1, limit) & (F.col("ts") - F.col("other_ts") <= _window_ms(F.col("kind"))))
-        .select("id", "ts", "other_id", "other_ts", "kind", "value")
+        .select("id", "ts", "other_id", "other_ts", "kind", "value", *carried, *(f"other_{c}" for c in carried))
     )
 
 
-def rank_relations(pairs: DataFrame, reports: DataFrame, top: int = V.RELATION_TOP) -> DataFrame:
+def rank_relations(pairs: DataFrame, top: int = V.RELATION_TOP, candidates: int = V.RELATION_CANDIDATES) -> DataFrame:
     """Up to ``top`` related reports per report, by score, then source time, then id.
 
-    The strongest shared entity is the base; category, week and region add to it.
-    ``reports``: ``id, t, region``.
+    ``pairs`` carry ``t`` and ``region``. The ``candidates`` newest reports that share any entity within its window
+    are scored; they are among the newest ones of each entity, so pairs cut per entity lose none. The strongest
+    shared entity is the base; category, week and region add to it.
     """
     strongest = pairs.groupBy("id", "other_id").agg(
         F.max(F.struct(_base(F.col("kind")).alias("base"), F.col("kind"), F.col("value"))).alias("reason"),
-        F.max("ts").alias("ts"), F.max("other_ts").alias("other_ts"),
+        *(F.max(x).alias(x) for x in ("ts", "other_ts", "t", "other_t", "region", "other_region")),
     )
-    facts = reports.select("id", "t", "region")
-    other = facts.select(F.col("id").alias("other_id"), F.col("t").alias("other_t"), F.col("region").alias("other_region"))
     c = F.col
+    nearest = top_per(strongest, ["id"], candidates, c("other_ts").desc(), c("other_id").asc()).drop("rank")
     bonus = V.RELATION_BONUS
     score = (
         c("reason.base")
@@ -140,10 +154,7 @@ def rank_relations(pairs: DataFrame, reports: DataFrame, top: int = V.RELATION_T
         + F.when(F.abs(c("ts") - c("other_ts")) <= 7 * DAY_MS, bonus["week"]).otherwise(0)
         + F.when(c("region") == c("other_region"), bonus["region"]).otherwise(0)
     )
-    scored = (
-        strongest.join(facts, "id").join(other, "other_id").withColumn("score", score)
-        .filter((c("score") >= V.RELATION_MIN_SCORE) & (c("reason.base") > 0))
-    )
+    scored = nearest.withColumn("score", score).filter((c("score") >= V.RELATION_MIN_SCORE) & (c("reason.base") > 0))
     best = top_per(scored, ["id"], top, c("score").desc(), c("other_ts").desc(), c("other_id").asc())
     return best.select(
         "id", "other_id", "rank", "score",

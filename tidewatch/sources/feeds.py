@@ -53,7 +53,7 @@ def _description() -> Column:
     """Readable lede; encoded bodies are decoded first."""
     first = F.coalesce(F.get(F.col("description"), F.lit(0)), F.get(F.col("summary"), F.lit(0)))
     raw, kind = first["_VALUE"], F.lower(F.coalesce(first["_type"], F.lit("")))
-    encoded = kind.contains("base64") & ~F.substring(raw, 1, 200).contains("<")
+    encoded = kind.contains("base64") & ~raw.contains("<")
     decoded = F.try_to_binary(raw, F.lit("base64"))
     body = F.when(encoded & decoded.isNotNull(), F.decode(decoded, "UTF-8")).otherwise(raw)
     return F.coalesce(text.html_to_text(body, limit=1000), F.lit(""))
