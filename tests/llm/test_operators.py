@@ -205,6 +205,17 @@ def test_language_and_toxicity_held_out():
     assert len(net.score([b"", b" "])) == 2
 
 
+def test_toxicity_scores_keep_the_share_of_the_labels_when_the_sample_is_capped(spark):
+    draw = np.random.default_rng(2)
+    bad = [int(i % 10 == 0) for i in range(4000)]
+    said = [" ".join([*(f"plain{k}" for k in draw.integers(0, 200, 20)), *(["vilest"] if draw.random() < (0.6 if b else 0.1) else [])]) for b in bad]
+    docs = frame(spark, list(enumerate(said)))
+    labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "doc_id long, toxic int")
+    for sample in (5000, 200):
+        net = toxicity.train(docs, labels, toxicity.Toxicity(sample=sample))
+        assert net.score([t.encode() for t in said]).mean() == pytest.approx(0.1, abs=0.05)
+
+
 def test_bpe_agrees_with_the_reference_encoder():
     path = public_tokenizers.path(queries.BPE_RANKS)
     codec = bpe.load(path, queries.BPE_PATTERN)
