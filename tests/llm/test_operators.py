@@ -216,6 +216,28 @@ def test_toxicity_scores_keep_the_share_of_the_labels_when_the_sample_is_capped(
         assert net.score([t.encode() for t in said]).mean() == pytest.approx(0.1, abs=0.05)
 
 
+def test_toxicity_reads_all_of_a_word_and_parts_words_beyond_ascii():
+    draw = np.random.default_rng(3)
+    letters = lambda n: "".join(draw.choice(list("abcdeghklmnoprstu"), n))
+    hanzi = lambda n: "".join(chr(0x4E00 + k) for k in draw.integers(0, 3000, n))
+    makers = (
+        lambda bad: letters(14) + ("wvxyz" if bad else letters(5)) + letters(4),
+        lambda bad: hanzi(12) + ("\u9f98\u9f96\u9f95" if bad else hanzi(3)) + hanzi(12),
+        lambda bad: letters(12) + draw.choice(["\u2014", "\u00a0", "\u201c"]) + ("vile" if bad else letters(4)),
+    )
+    for make in makers:
+        labels = np.array([i % 4 == 0 for i in range(600)]).astype(int)
+        net = toxicity.fit([make(b).encode() for b in labels], labels, toxicity.Toxicity())
+        bad, good = (net.score([make(b).encode() for _ in range(100)]) for b in (True, False))
+        assert (bad[:, None] > good).mean() > 0.9
+    text = "x" * 9 + "\u00fc" * 20 + " one\u2003two\u3001three"
+    found = toxicity.Steps([text.encode(), b"", b"four"])
+    steps = [found.word(i) for i in range(len(found.start))]
+    long = ("x" * 9 + "\u00fc" * 20).encode()
+    assert {s[k : k + 3] for s in steps for k in range(len(s) - 2)} >= {long[k : k + 3] for k in range(len(long) - 2)}
+    assert steps[-4:] == [b"one", b"two", b"three", b"four"] and np.diff(found.bounds).tolist() == [len(steps) - 1, 0, 1]
+
+
 def test_bpe_agrees_with_the_reference_encoder():
     path = public_tokenizers.path(queries.BPE_RANKS)
     codec = bpe.load(path, queries.BPE_PATTERN)
