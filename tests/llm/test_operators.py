@@ -177,6 +177,22 @@ def test_secrets_are_masked_and_numbers_are_not(spark):
     assert len(masked) == len(rows) and len(by_id) >= 50
 
 
+def test_secrets_of_every_form_are_masked(spark):
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:24]
+    issued = lambda i: "AKIA" + hashlib.sha256(str(i).encode()).hexdigest()[:16].upper()
+    forms = [
+        (lambda i: ('password = "', f"correct-horse-{'abcdefgh'[i % 8]}battery", '"')), (lambda i: ("password: '", f"p@ss!{i}#w$rd", "'")),
+        (lambda i: ("Authorization: Bearer ", key(i), " sent")), (lambda i: ("see https://example.com/hooks/", issued(i), "/x")),
+        (lambda i: ("aws-secret-access-key=", key(i), " end")), (lambda i: ("x" * 250 + "/", issued(i), " end")),
+    ]
+    said = [(n * 100 + i, form(i)) for n, form in enumerate(forms) for i in range(25)]
+    plain = [(9000 + i, f"the internationalization of the key: nothing, build 20240101-{i:06d} of example.com/articles/archive/{i:04d}/index") for i in range(100)]
+    docs = frame(spark, [(i, "some text " + "".join(parts) + " and more") for i, parts in said] + plain)
+    got = {r.doc_id: r.text for r in secret_forest.redacted(docs, secret_forest.findings(docs)).collect()}
+    assert [(i, got[i]) for i, (_, secret, _) in said if secret in got[i]] == []
+    assert all(got[i] == text for i, text in plain)
+
+
 def test_pii_base_spans_and_reconciled_windows():
     text = TEXTS[9][1]
     said = [(pii_lstm.KINDS[k], text[a:b]) for k, a, b in pii_lstm.base_spans(text)]

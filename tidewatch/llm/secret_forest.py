@@ -1,8 +1,9 @@
 """Secret scans: a random forest removes false positives among token-like candidates; DataFrame functions only.
 
-Candidates are runs of at least 12 token characters with a digit, found in whole texts in one pass. Each is
+Candidates are runs of at least 12 token characters, and any quoted or unblank value behind a credential's name,
+found in whole texts in one pass. Each is
 described by its length, its character transitions, how much of its letters the corpus knows as words, whether
-it lies in a path, and the words around it. A random forest trained from labelled findings scores it.
+it lies in a path or holds an issuer's format, and the words around it. A random forest trained from labelled findings scores it.
 
 Defined results: null and empty texts have no candidates; equal candidates of a text are separate findings;
 without findings of both labels every candidate gets the share of secrets among the labelled ones (0 without any).
@@ -22,13 +23,18 @@ from pyspark.sql import functions as F
 from tidewatch.functions.staging import marked_split, materialize
 from tidewatch.session import durable
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}"
+_ASSIGNED = r"(?i:pass(?:word|wd|phrase)?|secret|token|key|credential|auth)[\"']?\s{0,20}[=:]\s{0,20}"
+CANDIDATE = (
+    rf"(?<=[=:\s])(?<={_ASSIGNED}|(?i:bearer)\s{{1,20}})(?!(?i:bearer|basic)\s)[^\s\"'=:][^\s\"']*(?<![,;.)\]}}>])"
+    rf"|(?<=\")(?<={_ASSIGNED}\")[^\"\r\n]+(?=\")|(?<=')(?<={_ASSIGNED}')[^'\r\n]+(?=')"
+    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}"
+)
 #: Words that name a credential, and the issuer formats that the weak labels trust.
 CREDENTIAL_WORDS = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|key|credential|bearer|auth)$"
-ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs)_[A-Za-z0-9]{36}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abp]-[A-Za-z0-9-]{10,}$"
+ISSUED = r"(?<![A-Za-z0-9])((AKIA|ASIA)[A-Z0-9]{16}|(ghp|gho|ghs)_[A-Za-z0-9]{36}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])"
 MASK = "[SECRET]"
 FEATURES = [
-    "length", "digits", "uppers", "lowers", "marks", "turns_class", "turns_case", "odd_pairs", "covered", "path", "assigned", "quoted", "named", "named_near", "next_blank",
+    "length", "digits", "uppers", "lowers", "marks", "turns_class", "turns_case", "odd_pairs", "covered", "path", "assigned", "quoted", "named", "named_near", "next_blank", "issued", "bearer",
 ]
 #: Up to so many distinct letter runs the dictionary probe is broadcast.
 RUNS_BROADCAST = 200_000
@@ -53,8 +59,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     cut = materialize(named.dropDuplicates(["doc"]), {"p": marked_split(F.col("text"), CANDIDATE)})
     places = F.sequence(F.lit(1), F.size("p") - 2, F.lit(2))
     each = cut.filter(F.size("p") > 2).select("doc", "p", F.explode(places).alias("at"))
-    piece = lambda shift: F.get("p", F.col("at") + shift)
-    return each.select("doc", "at", piece(0).alias("candidate"), F.right(piece(-1), F.lit(60)).alias("before"), F.left(piece(1), F.lit(60)).alias("after"))
+    piece = lambda shift: F.coalesce(F.get("p", F.col("at") + shift), F.lit(""))
+    # The name of a credential may itself be a candidate.
+    before, after = F.right(F.concat(piece(-2), piece(-1)), F.lit(60)), F.left(F.concat(piece(1), piece(2)), F.lit(60))
+    return each.select("doc", "at", piece(0).alias("candidate"), before.alias("before"), after.alias("after"))
 
 
 def described(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -71,6 +79,7 @@ def described(found: DataFrame, docs: DataFrame) -> DataFrame:
         "path": ((F.regexp_count(c, F.lit("/")) > 1) | F.col("before").rlike(r"(://|[/\\.])\S*$")).cast("double"),
         "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"), "quoted": F.col("before").rlike("[\"'`]$").cast("double"),
         "named": prior.rlike(CREDENTIAL_WORDS).cast("double"), "named_near": two.rlike(CREDENTIAL_WORDS).cast("double"),
+        "issued": c.rlike(ISSUED).cast("double"), "bearer": F.col("before").rlike(r"(?i)bearer\s+$").cast("double"),
         "next_blank": (F.col("after").rlike(r"^\s") | (F.col("after") == "")).cast("double"),
     })
     rows = durable(plain)
@@ -84,8 +93,14 @@ def described(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def weak_label() -> Column:
-    """Label of a described finding where none was given by a reviewer: an issuer's format, or assigned to a credential's name."""
-    return (F.col("candidate").rlike(ISSUED) | ((F.col("named") == 1) & (F.col("assigned") == 1))).cast("int")
+    """Label of a described finding where none was given by a reviewer: an issuer's format, or assigned to a credential's name or its bearer.
+
+    A short value, a single plain word after a colon or blank, and a quoted phrase that no password's or secret's name precedes are none.
+    """
+    c, before = F.col("candidate"), F.col("before")
+    value = (F.length(c) >= 6) & ((F.col("quoted") == 1) | c.rlike("[^A-Za-z]") | before.rlike(r"=\s*$"))
+    value &= ~c.rlike(r"\s") | before.rlike(r"(?i)(pass(word|wd|phrase)?|secret)[\"']?\s*[=:]\s*[\"']$")
+    return ((F.col("issued") == 1) | (value & (((F.col("named") == 1) & (F.col("assigned") == 1)) | (F.col("bearer") == 1)))).cast("int")
 
 
 class SecretForest:
