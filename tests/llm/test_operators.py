@@ -107,6 +107,25 @@ def test_spotsigs_edits_and_pairs(spark, docs):
     assert {(r.doc_id, r.other) for r in found} >= {(2, 1), (8, 7)}
 
 
+def test_spotsigs_near_pairs_agree_with_all_pairs(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    cut = lambda t, k: t[: len(t) * k // 10]
+    rows = [(i * 10 + k, cut(t, k)) for i, t in enumerate(texts) for k in (5, 8, 9, 10)] + [(9000 + i, t) for i, t in enumerate(texts[:5])]
+    p = spotsigs.SpotSigs()
+    sets = {i: frozenset(spotsigs.signature_sets([t.encode()], p)[0].tolist()) for i, t in rows}
+    least = {}
+    for i in sorted(sets):
+        if sets[i]:
+            least.setdefault(sets[i], i)
+    want = {(i, least[x], 1.0) for i, x in sets.items() if x and least[x] != i}
+    for x, i in least.items():
+        for y, j in least.items():
+            if j < i and 100 * len(x & y) >= p.percent * len(x | y):
+                want.add((i, j, len(x & y) / len(x | y)))
+    got = [(r.doc_id, r.other, r.likeness) for r in spotsigs.near_pairs(frame(spark, rows), p).collect()]
+    assert Counter(got) == Counter(want) and sum(n < 1 for _, _, n in got) > 10
+
+
 def test_language_model_base_and_normalization(spark, docs):
     rows = spark.read.parquet(f"{docs}/documents.parquet")
     got = hmm_lm.lm_scores(rows).collect()
