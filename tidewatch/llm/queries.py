@@ -5,13 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, chat_format, decontam, hmm_lm, langid, minhash_dedup, pii_lstm, secret_forest, spotsigs, toxicity
+from tidewatch.llm import bpe, chat_format, decontam, hmm_lm, langid, merkle, minhash_dedup, packing, pii_lstm, secret_forest, spotsigs, toxicity
 from tidewatch.llm.common import read_table
 from tidewatch.llm.oracles import ORACLES
 
 #: The query's tokenizer: where its ranks lie on every machine, and the pattern that cuts texts.
 BPE_RANKS, BPE_PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
 
+#: The packing query's vocabulary, as ranks and as the tokenizer's own file.
+PACKING_RANKS, PACKING_TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+
 
 def op1_minhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
     p = minhash_dedup.MinHash(shingle=3, percent=85, bands=24, rows=5, agree=98)
@@ -58,5 +61,14 @@ def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return decontam.contamination(read_table(spark, directory, "documents"), read_table(spark, directory, "benchmark")).drop("doc")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_spotsigs, op3_hmm_scores, op4_chat_formatting, op5_secret_scans, op6_pii, op7_language_id, op8_byte_bpe, op9_toxicity, op10_decontamination)}
+def op11_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, directory, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
+    tokens = packing.Tokens(public_tokenizers.path(PACKING_RANKS), public_tokenizers.path(PACKING_TOKENIZER), public_tokenizers.PATTERN)
+    return packing.packed_documents(read_table(spark, directory, "documents"), tokens)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_spotsigs, op3_hmm_scores, op4_chat_formatting, op5_secret_scans, op6_pii, op7_language_id, op8_byte_bpe, op9_toxicity, op10_decontamination, op11_merkle_manifest, op13_best_fit_packing)}
 ORACLE_SQL = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
