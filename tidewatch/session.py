@@ -57,4 +57,13 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tidewatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.durable_path = path
+    return written
+
+
+def drop_durable(written: DataFrame) -> None:
+    """Delete the table behind a result of ``durable`` that nothing will read again, such as a superseded round."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.durable_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
