@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, chat_format, decontam, hmm_lm, langid, merkle, minhash_dedup, packing, pii_lstm, secret_forest, spotsigs, toxicity
+from tidewatch.llm import bpe, chat_format, decontam, hmm_lm, langid, merkle, minhash_dedup, packing, pii_lstm, secret_forest, shallot, spotsigs, toxicity
 from tidewatch.llm.common import read_table
 from tidewatch.llm.oracles import ORACLES
 
@@ -65,10 +65,14 @@ def op11_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
     return merkle.manifest(read_table(spark, directory, "documents"))
 
 
+def op12_shallot_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    return shallot.clusters(read_table(spark, directory, "embeddings"))
+
+
 def op13_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     tokens = packing.Tokens(public_tokenizers.path(PACKING_RANKS), public_tokenizers.path(PACKING_TOKENIZER), public_tokenizers.PATTERN)
     return packing.packed_documents(read_table(spark, directory, "documents"), tokens)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_spotsigs, op3_hmm_scores, op4_chat_formatting, op5_secret_scans, op6_pii, op7_language_id, op8_byte_bpe, op9_toxicity, op10_decontamination, op11_merkle_manifest, op13_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_spotsigs, op3_hmm_scores, op4_chat_formatting, op5_secret_scans, op6_pii, op7_language_id, op8_byte_bpe, op9_toxicity, op10_decontamination, op11_merkle_manifest, op12_shallot_clusters, op13_best_fit_packing)}
 ORACLE_SQL = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
