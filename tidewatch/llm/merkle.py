@@ -89,10 +89,8 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     counted = durable(sorted_rows.mapInArrow(_with_index, schema))
     runs = counted.groupBy("k", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    places = runs.select(
-        "k", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"), F.sum("rows").over(Window.partitionBy("k")).alias("n"),
-        F.explode(F.expr(f"sequence(0L, (rows - 1) div {SLOT})")).alias("slot"),
-    )
+    places = runs.select("k", "part", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"), F.sum("rows").over(Window.partitionBy("k")).alias("n"))
+    places = places.select("k", "part", "first", "n", F.explode(F.expr(f"sequence(0L, (rows - 1) div {SLOT})")).alias("slot"))
     joined = counted.withColumn("slot", F.expr(f"at div {SLOT}")).join(places, ["k", "part", "slot"])
     return joined.select(*rows.columns, (F.col("first") + F.col("at")).alias("pos"), "n")
 
