@@ -24,6 +24,18 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        free.append(name)
+        taken.add(name.lower())
+    return free
+
+
 def blank_words(text: bytes) -> list[bytes]:
     """Lower-cased words between ASCII blanks (space and \\x09-\\x0D)."""
     return text.translate(LOWER).split()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.staging import materialize
+from tidewatch.llm.common import free_names
 from tidewatch.session import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percen
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept."""
-    bad = contamination(docs, benchmark, width, percent).filter("contaminated").select(F.col("doc").alias("__doc")).distinct()
-    text = F.coalesce("text", F.lit(""))
-    named = docs.withColumn("__doc", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
-    return named.join(bad, "__doc", "left_anti").drop("__doc")
+    (doc,) = free_names(docs, "doc")
+    bad = contamination(docs, benchmark, width, percent).filter("contaminated").select(F.col("doc").alias(doc)).distinct()
+    named = docs.withColumn(doc, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    return named.join(bad, doc, "left_anti").drop(doc)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.staging import marked_split, materialize
+from tidewatch.llm.common import free_names
 from tidewatch.session import durable
 
 _ASSIGNED = r"(?i:pass(?:word|wd|phrase)?|secret|token|key|credential|auth)[\"']?\s{0,20}[=:]\s{0,20}"
@@ -36,8 +37,6 @@ MASK = "[SECRET]"
 FEATURES = [
     "length", "digits", "uppers", "lowers", "marks", "turns_class", "turns_case", "odd_pairs", "covered", "path", "assigned", "quoted", "named", "named_near", "next_blank", "issued", "bearer",
 ]
-#: Up to so many distinct letter runs the dictionary probe is broadcast.
-RUNS_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -48,21 +47,22 @@ class Forest:
     seed: int = 3
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("__doc", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
+def _name() -> Column:
+    """Names a document together with its text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc, at (index of the match among the text's pieces), candidate, before, after: one row per match."""
-    named = _named(docs).filter(F.col("text").rlike(CANDIDATE)).select(F.col("__doc").alias("doc"), "text")
-    cut = materialize(named.dropDuplicates(["doc"]), {"p": marked_split(F.col("text"), CANDIDATE)})
+    texts = docs.select(_name().alias("doc"), "text").filter(F.col("text").rlike(CANDIDATE))
+    cut = materialize(texts, {"p": marked_split(F.col("text"), CANDIDATE)})
     places = F.sequence(F.lit(1), F.size("p") - 2, F.lit(2))
     each = cut.filter(F.size("p") > 2).select("doc", "p", F.explode(places).alias("at"))
     piece = lambda shift: F.coalesce(F.get("p", F.col("at") + shift), F.lit(""))
     # The name of a credential may itself be a candidate.
     before, after = F.right(F.concat(piece(-2), piece(-1)), F.lit(60)), F.left(F.concat(piece(1), piece(2)), F.lit(60))
-    return each.select("doc", "at", piece(0).alias("candidate"), before.alias("before"), after.alias("after"))
+    # Repeated rows of a document give equal rows here.
+    return each.select("doc", "at", piece(0).alias("candidate"), before.alias("before"), after.alias("after")).distinct()
 
 
 def described(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -84,10 +84,9 @@ def described(found: DataFrame, docs: DataFrame) -> DataFrame:
     })
     rows = durable(plain)
     runs = rows.select("doc", "at", "candidate", F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), 0)).alias("run"))
-    wanted = durable(runs.select("run").distinct())
-    few = wanted.limit(RUNS_BROADCAST + 1).count() <= RUNS_BROADCAST
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("run"))
-    known = words.join(F.broadcast(wanted) if few else wanted, "run").groupBy("run").agg(F.count("*").alias("uses")).filter("uses > 1").select("run")
+    # Counting comes before the join: each task sends a word once, however often it occurs.
+    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("run")).filter(F.length("run") >= 3)
+    known = words.groupBy("run").agg(F.count("*").alias("uses")).filter("uses > 1").select("run")
     covered = runs.join(known, "run").groupBy("doc", "at").agg((F.sum(F.length("run")) / F.max(F.length("candidate"))).alias("covered"))
     return rows.join(covered, ["doc", "at"], "left").fillna(0.0, ["covered"])
 
@@ -132,15 +131,20 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, p: Forest = For
     return model.score(rows).select("doc", "at", "candidate", "score", (F.col("score") >= p.threshold).alias("secret"))
 
 
-def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with each secret masked in ``text``; every other column and row stays; adds n_candidates and n_secrets."""
-    per = found.groupBy(F.col("doc").alias("__doc")).agg(
-        F.count("*").alias("n_candidates"), F.count_if("secret").alias("n_secrets"), F.collect_list(F.when(F.col("secret"), F.col("at"))).alias("__at")
+def redacted(docs: DataFrame, found: DataFrame, counts: tuple[str, str] | None = ("n_candidates", "n_secrets")) -> DataFrame:
+    """``docs`` with each secret masked in ``text``; every other column and row stays.
+
+    Adds the counts of candidates and secrets under the given names, which ``docs`` must not have; None adds none.
+    """
+    doc, at, n, secrets = free_names(docs, "doc", "at", "n", "secrets")
+    per = found.groupBy(F.col("doc").alias(doc)).agg(
+        F.count("*").alias(n), F.count_if("secret").alias(secrets), F.collect_list(F.when(F.col("secret"), F.col("at"))).alias(at)
     )
-    joined = _named(docs).join(per, "__doc", "left")
-    kept = F.transform(marked_split(F.col("text"), CANDIDATE), lambda x, i: F.when(F.array_contains("__at", i), F.lit(MASK)).otherwise(x))
-    text = F.when(F.coalesce("n_secrets", F.lit(0)) > 0, F.array_join(kept, "")).otherwise(F.col("text"))
-    return joined.withColumns({"text": text, "n_candidates": F.coalesce("n_candidates", F.lit(0)), "n_secrets": F.coalesce("n_secrets", F.lit(0))}).drop("__doc", "__at")
+    joined = docs.withColumn(doc, _name()).join(per, doc, "left")
+    kept = F.transform(marked_split(F.col("text"), CANDIDATE), lambda x, i: F.when(F.array_contains(at, i), F.lit(MASK)).otherwise(x))
+    text = F.when(F.coalesce(secrets, F.lit(0)) > 0, F.array_join(kept, "")).otherwise(F.col("text"))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, *(F.coalesce(c, F.lit(0)).alias(name) for c, name in zip((n, secrets), counts or ())))
 
 
 def secret_scan(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
