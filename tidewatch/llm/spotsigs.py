@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,13 +95,13 @@ def with_following(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = partitions or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.001)))
-    bucket = F.lit(0)
-    for cut in reversed(cuts):
-        bucket = bucket + F.when(F.col("doc_id") < cut, 1).otherwise(0)
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket)
-    ranged = rows.withColumn("part", bucket.cast("int"))
-    # One row per range: where it starts, and the range before it that has rows. At most n + 1 rows.
+    cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))))
+    # Ranges by binary search; ids that one double stands for share a range, and the lowest one holds missing ids.
+    ends = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="range") if cuts else None
+    placed = rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf)))
+    number = ends.transform(placed) if ends else placed.withColumn("range", F.lit(0))
+    ranged = number.select("doc_id", "text", (F.lit(len(cuts)) - F.col("range")).cast("int").alias("part"))
+    # One row per range: where it starts, and the range before it that has rows. At most n rows.
     heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
     before = {r.part: heads[i - 1].part for i, r in enumerate(heads)}
     if not heads:
