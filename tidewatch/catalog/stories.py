@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import oracle as O
@@ -11,7 +13,9 @@ from tidewatch.operators import corroborate as C
 from tidewatch.operators import history, views
 from tidewatch.operators.normalize import accepted, story_key
 from tidewatch.operators.numbering import number, number_within
-from tidewatch.session import durable
+from tidewatch.plans.cycle import Batch, Policy, full_state, run_cycle
+from tidewatch.plans.warehouse import Warehouse
+from tidewatch.session import durable, shared_folder
 from tidewatch.sources.tables import AS_OF
 
 
@@ -77,6 +81,18 @@ def event_sources(t):
     return fold(t)[1]
 
 
+@query("fold_after_pruning", "SELECT id, seq, t, sev, title, articles, n_outlets FROM stories", ctes=O.STORY_CTES)
+def fold_after_pruning(t):
+    """Two whole cycles that show five events only and merge their deltas into a new base each time: no story is forgotten."""
+    root = f"{shared_folder(t.spark)}/fold-{uuid.uuid4().hex}"
+    policy = Policy(mode="legacy", live_limit=5, compact_after=1, buckets=16)
+    early = durable(t.judged.filter(F.floor(F.col("ts") / times.HOUR_MS) % 24 < 6).select("seq"))
+    for how in ("left_semi", "left_anti"):
+        manifest = run_cycle(t.spark, root, Batch(durable(t.articles.join(early, "seq", how))), AS_OF, policy)
+    events, _ = full_state(Warehouse(t.spark, root), manifest)
+    return events.select("id", "seq", "t", "sev", "title", "articles", "n_outlets")
+
+
 @query(
     "cycle_tallies",
     """SELECT (SELECT count(*) FROM articles) AS ingested, (SELECT count(*) FROM keyed) AS accepted,

@@ -47,9 +47,13 @@ def merge_reports(
     ``sources`` lists the URLs of known events. The first report of a new story
     supplies its fields, and ids are dense from ``next_id`` in arrival order.
     """
-    fresh = story_key(unseen_urls(reports, sources))
     known = first_per(story_key(events).select("story_key", "id", "live_rank"), ["story_key"],
                       F.col("live_rank").asc(), F.col("id").desc())
+    return attach(story_key(unseen_urls(reports, sources)), known, span, next_id)
+
+
+def attach(fresh: DataFrame, known: DataFrame, span: OrderSpan, next_id: int) -> Merge:
+    """Attach fresh reports (with ``story_key``, one per URL) to the known stories (story_key, id; one row a key), else open new ones."""
     openers = first_per(fresh, ["story_key"], F.col("seq")).join(known, "story_key", "left_anti")
     new_events = number(openers, span, "id", start=next_id)
     owner = known.select("story_key", "id").unionByName(new_events.select("story_key", "id"))
@@ -86,7 +90,11 @@ def outlets(sources: DataFrame) -> DataFrame:
 
 def with_scores(events: DataFrame, totals: DataFrame, as_of_ms: int) -> DataFrame:
     """Recompute article count, confidence and PULSE for every event at ``as_of``."""
-    joined = events.join(totals, "id", "left")
+    return rescored(events.join(totals, "id", "left"), as_of_ms)
+
+
+def rescored(joined: DataFrame, as_of_ms: int) -> DataFrame:
+    """Confidence and PULSE of events that hold their totals, at ``as_of``."""
     # An event without a usable URL still counts as reported by its source label.
     reporting = F.greatest(F.coalesce(F.col("n_outlets"), F.lit(0)), F.lit(1))
     quality = F.when(F.coalesce(F.col("quality"), F.lit(0)) == 0, 40).otherwise(F.col("quality"))

@@ -96,8 +96,12 @@ def semantic_events(events: DataFrame, sources: DataFrame) -> DataFrame:
     digest = sources.groupBy("id").agg(
         *(value.alias(f"set_{name}") for name, value in hashing.set_digest(F.col("url")).items())
     )
+    return semantic_rows(events.drop("set_x", "set_y").join(digest, "id", "left"))
+
+
+def semantic_rows(joined: DataFrame) -> DataFrame:
+    """The same from events that hold the size (set_n) and the folds (set_x, set_y) of their set of URLs."""
     c = F.col
-    joined = events.join(digest, "id", "left")
     members = F.concat_ws(":", *(c(f"set_{name}").cast("string") for name in ("n", "x", "y")))
     content = hashing.fingerprint(
         {**{k: c(k) for k in SEMANTIC_STRINGS}, "sources": members}, {k: c(k) for k in SEMANTIC_NUMBERS}

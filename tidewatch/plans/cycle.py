@@ -12,9 +12,11 @@ from tidewatch.functions import vocabulary as V
 from tidewatch.functions.places_text import Gazetteer
 from tidewatch.operators import corroborate, history, views
 from tidewatch.operators.audit import geo_violations
-from tidewatch.operators.normalize import accepted, normalize
+from tidewatch.operators.normalize import accepted, normalize, story_key
 from tidewatch.operators.numbering import OrderSpan
-from tidewatch.plans.warehouse import Warehouse, table_digest
+from tidewatch.plans.state import FoldState, added_totals, live_rank, with_added
+from tidewatch.plans.warehouse import Warehouse, columns_of, table_digest
+from tidewatch.session import durable
 from tidewatch.sources.records import with_provider
 
 
@@ -41,8 +43,13 @@ class Policy:
     mode: str = "archive"  # legacy: no history; shadow: history may fail; archive: history is required
     live_limit: int = V.LIVE_EVENTS
     gazetteer: Gazetteer | None = None
+    #: Sequences after which the deltas are merged into a new base, and its buckets (None: by the number of URLs).
+    compact_after: int = 96
+    buckets: int | None = None
 
 
+#: Columns of a manifest that say how its state is read.
+STATE_POINTERS = ("base_generation", "base_buckets", "history_sequence")
 PROVIDER_LABELS = {"RSS": "rss", "GDELT": "gdelt"}
 
 
@@ -50,8 +57,8 @@ def run_cycle(spark: SparkSession, root: str, batch: Batch, as_of_ms: int, polic
               token: str | None = None) -> dict:
     """Fold one batch into the state under ``root`` and publish the result; returns the manifest row.
 
-    Everything heavy is written once and read back, facts before the pointer. Only
-    one-row summaries come to the driver. ``token`` names the batch: a batch whose
+    The state is looked up by the keys of the batch, and what the batch adds or changes is written once and read
+    back, facts before the pointer. Only one-row summaries and bucket numbers come to the driver. ``token`` names the batch: a batch whose
     token is already published is not folded again.
     """
     policy = policy or Policy()
@@ -65,55 +72,45 @@ def run_cycle(spark: SparkSession, root: str, batch: Batch, as_of_ms: int, polic
     sequence = house.committed() + 1
     uid = token or f"publication-{sequence:012d}"
     manifest = current_manifest(house)
-    # The fold remembers every event and URL; the live limit only bounds what is published.
-    events, sources = full_state(house, manifest)
-    refuse_unsafe(events, policy.gazetteer)
+    state = FoldState.of(house, manifest)
+    prior = live_rows(state)
+    refuse_unsafe(prior, policy.gazetteer)
     if batch.succeeded == 0:
         return _retain(house, manifest, sequence, uid, batch, as_of_ms, policy)
 
     judged = house.write("judged", normalize(batch.articles, as_of_ms, policy.gazetteer), sequence)
     next_id = max(manifest.get("next_event_id") or 1, 1)
-    span = OrderSpan.of(judged, "seq")
-    merge = corroborate.merge_reports(
-        accepted(judged), events.withColumn("live_rank", -F.coalesce("ingested_at", "ts")), sources, span, next_id
-    )
-    # The fold is read by every later step, so its two tables are written before use.
-    fresh = house.write("event_sources", sources.unionByName(
-        merge.new_sources.withColumn("origin", F.lit(sequence).cast("long"))), sequence)
-    created = merge.new_events.withColumnRenamed("media_image", "image_hint").withColumnRenamed("video_url", "video_hint")
-    kept = events.drop("articles", "n_sources", "n_outlets", "confidence", "pulse")
-    added = created.withColumns({"image": F.lit(None).cast("string"), "video_url": F.lit(None).cast("string")})
-    everything = kept.unionByName(added.select(*kept.columns))
-    scored = corroborate.with_scores(everything, corroborate.source_totals(fresh), as_of_ms)
-    hinted = _with_media(scored, fresh, batch.articles)
-    before_pruning = house.write("events", hinted, sequence)
-
-    created_ids = before_pruning.agg(
-        F.max("id").alias("top"), F.count_if(F.col("id") >= next_id).alias("created")
-    ).first()
+    fold = fold_batch(house, state, judged, batch.articles, sequence, next_id, as_of_ms)
+    after = FoldState(house, sequence, state.base)
+    created_ids = fold.new_events.agg(F.max("id").alias("top"), F.count("*").alias("created")).first()
     tallies = judged.agg(
         F.count("*").alias("ingested"),
         F.count_if(F.col("outcome") == "accepted").alias("accepted"),
         F.count_if(F.col("outcome").startswith("rejected:")).alias("rejected"),
     ).first()
-    n_fresh = fresh.filter(F.col("origin") == sequence).count()
+    n_fresh = fold.new_sources.count()
     failed = [*batch.failed, *(["Invalid source records"] if tallies["rejected"] else [])]
-    run_uid = f"run-{sequence:012d}"
+    run_uid, recorded = f"run-{sequence:012d}", manifest.get("history_sequence") or 0
     if policy.mode != "legacy":
         try:
-            record_history(house, sequence, run_uid, batch, judged, before_pruning, fresh, as_of_ms)
+            record_history(house, sequence, run_uid, batch, judged, state, after, recorded, as_of_ms)
+            recorded = sequence
         except Exception as error:
             if policy.mode == "archive":
                 raise
             house.append("gaps", house.row("gaps", run_uid=run_uid, reason=type(error).__name__, seen_at=as_of_ms), sequence)
 
-    live = views.live_events(before_pruning, policy.live_limit)
+    live = write_live(house, after, prior, manifest, policy.live_limit, as_of_ms)
     counts = views.manifest_counts(live).first().asDict()
+    base = state.base
+    if sequence - base.generation >= policy.compact_after:
+        base = after.compact(policy.buckets)
     row = {
         **counts, "last_sync": as_of_ms, "last_attempt": as_of_ms, "state_sequence": sequence,
         "next_event_id": max(next_id, (created_ids["top"] or 0) + 1), "health": "degraded" if failed else "ok",
         "failed_sources": failed, "ingested": tallies["ingested"], "deduped": tallies["accepted"] - n_fresh,
         "merged": n_fresh - created_ids["created"], "rejected": tallies["rejected"],
+        "base_generation": base.generation, "base_buckets": base.buckets, "history_sequence": recorded,
     }
     return commit(
         house, sequence, uid, row, live, as_of_ms, accepted_n=tallies["accepted"],
@@ -121,6 +118,42 @@ def run_cycle(spark: SparkSession, root: str, batch: Batch, as_of_ms: int, polic
     )
 
 
+@dataclass(frozen=True)
+class Fold:
+    """What a batch added: written rows of its sequence."""
+
+    new_events: DataFrame
+    new_sources: DataFrame
+
+
+def fold_batch(house: Warehouse, state: FoldState, judged: DataFrame, articles: DataFrame, sequence: int, next_id: int,
+               as_of_ms: int) -> Fold:
+    """Fold a judged batch into the state: reads the keys of the batch, writes what it adds or changes."""
+    reports = accepted(judged)
+    known = state.urls.lookup(reports.select("url").union(articles.select("url")))
+    fresh = durable(story_key(corroborate.unseen_urls(reports, known)))
+    stories = state.stories.lookup(fresh).select("story_key", "id")
+    merge = corroborate.attach(fresh, stories, OrderSpan.of(judged, "seq"), next_id)
+    new_sources = house.write("event_sources", merge.new_sources.withColumn("origin", F.lit(sequence).cast("long")), sequence)
+    house.write("url_index", new_sources, sequence)
+    hosts = corroborate.outlets(new_sources).select("id", "host")
+    new_hosts = house.write("outlet_index", hosts.join(state.outlets.lookup(hosts), ["id", "host"], "left_anti"), sequence)
+
+    created = durable(merge.new_events.withColumnRenamed("media_image", "image_hint").withColumnRenamed("video_url", "video_hint"))
+    nothing = {"image": "string", "video_url": "string", **dict.fromkeys(("articles", "n_sources", "n_outlets", "set_x", "set_y"), "long")}
+    opened = created.withColumns({name: F.lit(None).cast(kind) for name, kind in nothing.items()})
+    hints = media_of(articles)
+    cited = known.drop("sequence").unionByName(new_sources)
+    touched = new_sources.select("id").union(cited.join(hints, "url", "left_semi").select("id"))
+    columns = [c for c in columns_of("events") if c not in ("confidence", "pulse")]
+    events = state.events.lookup(touched).select(*columns).unionByName(opened.select(*columns))
+    media = corroborate.media_hints(cited, hints, events.select("id", "image", "video_url"))
+    counted = with_added(events.drop("image", "video_url").join(media, "id"), added_totals(new_sources, new_hosts))
+    house.write("events", corroborate.rescored(counted, as_of_ms), sequence)
+    house.write("story_index", created.withColumn("live_rank", live_rank()).select("story_key", "id", "live_rank"), sequence)
+    return Fold(created, new_sources)
+
+
 def current_manifest(house: Warehouse) -> dict:
     """Newest manifest with the defaults of a state written before a field existed."""
     last = house.committed()
@@ -128,19 +161,39 @@ def current_manifest(house: Warehouse) -> dict:
     return found.asDict() if found else {"last_sync": 0, "last_attempt": 0, "next_event_id": 1, "state_sequence": 0}
 
 
+def live_rows(state: FoldState) -> DataFrame:
+    """The events that a sequence shows, with the scores it showed: its list of ids, looked up."""
+    shown = state.house.load("live", columns_of("live")).filter(F.col("sequence") == state.at).drop("sequence")
+    found = state.events.lookup(shown).drop("confidence", "pulse", "sequence")
+    return found.join(shown, "id").select(*columns_of("events"))
+
+
+def write_live(house: Warehouse, state: FoldState, prior: DataFrame, manifest: dict, limit: int, as_of_ms: int) -> DataFrame:
+    """The newest events among those shown before and those just written, scored at ``as_of``; written as ids and scores.
+
+    An event that fell behind the limit comes back only when it changes, since the order is that of ingestion. A limit that grew
+    is filled from the whole state.
+    """
+    written = state.events.read() if (manifest.get("events") or 0) < limit and state.at > 1 else None
+    if written is None:
+        fresh = state.events.changed_since(state.at - 1)
+        written = prior.drop("confidence", "pulse").join(fresh.select("id"), "id", "left_anti").unionByName(fresh.drop("sequence", "confidence", "pulse"))
+    live = corroborate.rescored(views.live_events(written.drop("sequence", "confidence", "pulse"), limit), as_of_ms)
+    house.write("live", live, state.at)
+    return live_rows(state)
+
+
 def full_state(house: Warehouse, manifest: dict) -> tuple[DataFrame, DataFrame]:
-    """All events of the newest state and all their sources: what a new batch is folded into."""
-    at = manifest["state_sequence"]
-    return house.read("events", at).drop("sequence"), house.read("event_sources", at).drop("sequence")
+    """All events of the newest state and all their sources."""
+    state = FoldState.of(house, manifest)
+    return state.events.read().drop("sequence"), state.event_sources.read().drop("sequence")
 
 
 def current_state(house: Warehouse, manifest: dict, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Live events of the newest state and the sources of exactly those events."""
-    at = manifest["state_sequence"]
-    events = house.read("events", at).drop("sequence")
-    live = views.live_events(events, limit or manifest.get("events") or V.LIVE_EVENTS)
-    sources = house.read("event_sources", at).drop("sequence")
-    return live, sources.join(live.select("id"), "id", "left_semi")
+    state = FoldState.of(house, manifest)
+    live = views.live_events(live_rows(state), limit or manifest.get("events") or V.LIVE_EVENTS)
+    return live, state.event_sources.lookup(live).drop("sequence")
 
 
 def refuse_unsafe(events: DataFrame, gazetteer: Gazetteer | None = None) -> None:
@@ -150,33 +203,37 @@ def refuse_unsafe(events: DataFrame, gazetteer: Gazetteer | None = None) -> None
         raise UnsafeLocations(f"event {first['id']}")
 
 
-def _with_media(events: DataFrame, sources: DataFrame, articles: DataFrame) -> DataFrame:
-    """Fill missing image and video from the batch's hints; the last hint of a URL counts."""
-    hints = (
+def media_of(articles: DataFrame) -> DataFrame:
+    """Image and video that a batch offers by URL; the last hint of a URL counts."""
+    return (
         articles.filter("coalesce(media_image, '') <> '' OR coalesce(video_url, '') <> ''")
         .groupBy("url").agg(F.max(F.struct("seq", "media_image", "video_url")).alias("h"))
         .select("url", F.col("h.media_image").alias("image"),
                 F.when(F.col("h.video_url").rlike(V.VIDEO_LINK_PATTERN), F.col("h.video_url")).alias("video_url"))
     )
-    media = corroborate.media_hints(sources, hints, events.select("id", "image", "video_url"))
-    return events.drop("image", "video_url").join(media, "id")
 
 
-def record_history(house: Warehouse, sequence: int, run_uid: str, batch: Batch, judged: DataFrame, events: DataFrame,
-                   sources: DataFrame, as_of_ms: int) -> None:
-    """Append this run's sources, revisions, observations, event revisions, evidence and health."""
+def record_history(house: Warehouse, sequence: int, run_uid: str, batch: Batch, judged: DataFrame, before: FoldState,
+                   after: FoldState, recorded: int, as_of_ms: int) -> None:
+    """Append this run's sources, revisions, observations, event revisions, evidence and health.
+
+    Event revisions are taken of what changed since the last recorded sequence; what history holds is looked up by key.
+    """
     providers = with_provider(batch.articles, batch.second_provider).filter("provider IS NOT NULL").select(
         "seq", "provider", "url", "title", F.col("rss_description").alias("summary"), "seendate"
     )
-    seen = history.observe(providers.join(judged.select("seq", "outcome"), "seq"))
-    house.write("source_records", history.new_sources(seen, house.read("source_records")), sequence)
-    house.write("source_revisions", history.new_source_revisions(seen, as_of_ms, house.read("source_revisions")), sequence)
+    seen = durable(history.observe(providers.join(judged.select("seq", "outcome"), "seq")))
+    usable = seen.filter("natural_key IS NOT NULL")
+    house.write("source_records", history.new_sources(seen, before.source_keys.lookup(usable)), sequence)
+    house.write("source_revisions", history.new_source_revisions(seen, as_of_ms, before.revision_keys.lookup(usable)), sequence)
     house.write("source_observations", history.new_observations(seen, run_uid, as_of_ms), sequence)
-    semantic = history.semantic_events(events, sources)
+    changed = after.events.changed_since(recorded).drop("sequence")
+    semantic = durable(history.semantic_rows(changed.withColumn("set_n", F.nullif("articles", F.lit(0)))))
     revisions = house.write(
-        "event_revisions", history.new_event_revisions(semantic, as_of_ms, house.read("event_revisions")), sequence
+        "event_revisions", history.new_event_revisions(semantic, as_of_ms, before.event_revision_keys.lookup(semantic)), sequence
     )
-    house.write("event_evidence", history.new_evidence(revisions, sources, seen), sequence)
+    cited = after.urls.lookup(seen.select(F.trim("url").alias("url")))
+    house.write("event_evidence", history.new_evidence(revisions, cited, seen), sequence)
     failed = [PROVIDER_LABELS[f.upper()] for f in batch.failed if f.upper() in PROVIDER_LABELS]
     enabled = ["rss", *(["gdelt"] if batch.second_provider else [])]
     house.write("source_health", history.source_health(seen, run_uid, failed, enabled), sequence)
@@ -189,6 +246,7 @@ def _retain(house: Warehouse, manifest: dict, sequence: int, uid: str, batch: Ba
         **views.manifest_counts(events).first().asDict(), "last_sync": manifest["last_sync"], "last_attempt": as_of_ms,
         "state_sequence": manifest["state_sequence"], "next_event_id": manifest["next_event_id"], "health": "error",
         "failed_sources": list(batch.failed), "ingested": 0, "deduped": 0, "merged": 0, "rejected": 0,
+        **{name: manifest.get(name) for name in STATE_POINTERS},
     }
     return commit(house, sequence, uid, row, events, as_of_ms, gazetteer=policy.gazetteer)
 

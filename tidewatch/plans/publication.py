@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators import history, views
 from tidewatch.operators.checks import document_violations
 from tidewatch.operators.numbering import OrderSpan, number_within
-from tidewatch.plans.cycle import BootstrapRequired, commit, current_state
+from tidewatch.plans.cycle import BootstrapRequired, commit, current_state, live_rows
+from tidewatch.plans.state import Base, FoldState, seed
 from tidewatch.plans.warehouse import Warehouse, table_digest
 from tidewatch.schemas import DOCUMENT
 
@@ -145,16 +146,17 @@ def import_state(spark: SparkSession, root: str, events: DataFrame, sources: Dat
         return {"status": "already-imported", "sequence": house.committed()}
     sequence = 1
     house.write("event_mapping", mapping, sequence)
-    stored = house.write("events", events, sequence)
-    house.write("event_sources", sources, sequence)
+    stored = seed(house, events, sources, sequence)
+    house.write("live", stored, sequence)
     semantic = history.semantic_events(stored, sources)
     house.write("event_revisions", history.new_event_revisions(semantic, as_of_ms, None, "legacy_import"), sequence)
     water = history.high_water(stored, next_event_id).first()["next_id"]
     row = {
         **views.manifest_counts(stored).first().asDict(), "last_sync": 0, "last_attempt": as_of_ms, "next_event_id": water,
         "state_sequence": sequence, "health": "ok", "failed_sources": [], "ingested": 0, "deduped": 0, "merged": 0, "rejected": 0,
+        "base_generation": 0, "base_buckets": 1, "history_sequence": sequence,
     }
-    commit(house, sequence, f"import:{identity}", row, stored, as_of_ms)
+    commit(house, sequence, f"import:{identity}", row, live_rows(FoldState(house, sequence, Base())), as_of_ms)
     return {"status": "imported", "sequence": sequence, "next_event_id": water}
 
 

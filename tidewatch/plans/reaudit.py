@@ -9,7 +9,8 @@ from tidewatch.functions import vocabulary as V
 from tidewatch.functions.places_text import Gazetteer
 from tidewatch.operators import views
 from tidewatch.operators.audit import geo_audit
-from tidewatch.plans.cycle import commit, current_manifest, full_state
+from tidewatch.plans.cycle import commit, current_manifest, full_state, live_rows
+from tidewatch.plans.state import FoldState, replace
 from tidewatch.plans.warehouse import Warehouse, table_digest
 
 
@@ -34,10 +35,13 @@ def reaudit(spark: SparkSession, root: str, audits: str, as_of_ms: int, gazettee
         {"lat": F.col("new_lat"), "lon": F.col("new_lon"), "loc": F.col("new_loc")}
     ).select(*events.columns)
     sequence = house.committed() + 1
-    stored = house.write("events", kept, sequence)
-    house.write("event_sources", sources.join(stored.select("id"), "id", "left_semi"), sequence)
-    live = views.live_events(stored, manifest.get("events") or V.LIVE_EVENTS)
-    row = {**manifest, **views.manifest_counts(live).first().asDict(), "state_sequence": sequence}
+    stored, base = replace(house, FoldState.of(house, manifest), kept, sources.join(kept.select("id"), "id", "left_semi"), sequence)
+    house.write("live", views.live_events(stored, manifest.get("events") or V.LIVE_EVENTS), sequence)
+    live = live_rows(FoldState(house, sequence, base))
+    row = {
+        **manifest, **views.manifest_counts(live).first().asDict(), "state_sequence": sequence,
+        "base_generation": base.generation, "base_buckets": base.buckets,
+    }
     row.pop("sequence", None)
     commit(house, sequence, f"publication-{sequence:012d}", row, live, as_of_ms, gazetteer=gazetteer)
     return {"sequence": sequence, "input_sha": digest, "actions": tally}

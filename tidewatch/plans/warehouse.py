@@ -30,6 +30,15 @@ class Warehouse:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def load(self, table: str, columns: list[str]) -> DataFrame:
+        """The given columns and the sequence of every row, committed or not."""
+        return self._load(table).select(*columns, "sequence")
+
+    def load_path(self, path: str, table: str, columns: list[str], more: str) -> DataFrame:
+        """A folder that holds some columns of a table and the further ones given as DDL."""
+        kinds = dict(c.split(" ", 1) for c in _split_ddl(TABLES[table]))
+        return self.spark.read.schema(", ".join([*(f"{c} {kinds[c]}" for c in columns), more])).parquet(path)
+
     def committed(self) -> int:
         """Highest published or pending sequence; 0 before the first."""
         self._last = self._load("publications").agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
@@ -47,7 +56,7 @@ class Warehouse:
 
     def write(self, table: str, rows: DataFrame, sequence: int) -> DataFrame:
         """Write one sequence of a table and return it read back, free of its lineage."""
-        columns = [c.split(" ")[0] for c in _split_ddl(TABLES[table])]
+        columns = columns_of(table)
         path = f"{self.root}/{table}/sequence={sequence}"
         rows.select(*columns).write.mode("overwrite").parquet(path)
         if table == "publications":
@@ -56,7 +65,7 @@ class Warehouse:
 
     def append(self, table: str, rows: DataFrame, sequence: int) -> None:
         """Add rows to a sequence (ledger entries: one row per call)."""
-        columns = [c.split(" ")[0] for c in _split_ddl(TABLES[table])]
+        columns = columns_of(table)
         rows.select(*columns).write.mode("append").parquet(f"{self.root}/{table}/sequence={sequence}")
 
     def row(self, table: str, **values) -> DataFrame:
@@ -69,6 +78,10 @@ class Warehouse:
         return self.spark.range(1).select(*(literal(values[n]).cast(kind).alias(n) for n, kind in columns))
 
 
+def columns_of(table: str) -> list[str]:
+    return [c.split(" ")[0] for c in _split_ddl(TABLES[table])]
+
+
 def _split_ddl(ddl: str) -> list[str]:
     """Top-level column definitions of a column list."""
     parts, depth, start = [], 0, 0

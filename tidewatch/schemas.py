@@ -10,7 +10,7 @@ EVENT_FIELDS = (
     "id bigint, seq bigint, t string, sev string, title string, summary string, src string, loc string, lat double, lon double, "
     "ts bigint, ingested_at bigint, tone double, quality int, geo_tier string, geo_source string, geo_policy string, "
     "geo_scope string, geo_evidence string, date_defaulted boolean, articles bigint, n_sources bigint, n_outlets bigint, "
-    "confidence int, pulse boolean, image string, video_url string"
+    "confidence int, pulse boolean, image string, video_url string, set_x bigint, set_y bigint"
 )
 
 # Every table is partitioned by the publication sequence that wrote it.
@@ -20,6 +20,11 @@ TABLES = {
     "geo_scope string, geo_evidence string, media_image string, video_url string, date_defaulted boolean, outcome string",
     "events": EVENT_FIELDS,
     "event_sources": "id bigint, origin bigint, seq bigint, url string",
+    # What the fold looks up by key: see plans/state.py.
+    "url_index": "id bigint, origin bigint, seq bigint, url string",
+    "story_index": "story_key string, id bigint, live_rank bigint",
+    "outlet_index": "id bigint, host string",
+    "live": "id bigint, confidence int, pulse boolean",
     "source_records": "source_uid string, provider string, natural_key string, original_url string, canonical_url string",
     "source_revisions": "revision_uid string, source_uid string, content_hash string, published_at bigint, observed_at bigint, "
     "title string, summary string, canonical_url string",
@@ -34,7 +39,8 @@ TABLES = {
     "manifests": "last_sync bigint, last_attempt bigint, next_event_id bigint, state_sequence bigint, health string, "
     "failed_sources array<string>, ingested bigint, deduped bigint, merged bigint, rejected bigint, events bigint, "
     "topic_cyber bigint, topic_geopolitical bigint, topic_maritime bigint, topic_military bigint, severity_critical bigint, "
-    "severity_escalating bigint, severity_watching bigint, severity_deesc bigint, pulse bigint",
+    "severity_escalating bigint, severity_watching bigint, severity_deesc bigint, pulse bigint, base_generation bigint, base_buckets int, "
+    "history_sequence bigint",
     "layer_pointers": "name string, stamp bigint, objects bigint",
     "publications": "publication_uid string, state string, payload_hash string, logged_at bigint",
 }
