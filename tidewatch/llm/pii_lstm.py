@@ -1,11 +1,13 @@
 """PII: base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The network is trained in numpy from labelled spans: those of the base patterns in a bounded sample of windows.
+The network is trained in numpy from labelled spans: those of the base patterns in excerpts of a bounded sample of
+documents, as they are and rewritten in place into forms that the patterns miss (phones without a plus, cards and
+addresses with other separators, letters beyond ASCII). So it learns from the words around them, and adds such forms.
 Windows of ``window`` characters start every ``stride`` characters and overlap by half. Every kind needs a
-digit or an ``@``, so windows without one are not decoded: they hold no span. Each window is decoded by Viterbi;
-where windows overlap, a character's tag is taken from the window in whose middle it lies, and spans are then
-formed over the whole text, so that a span across a seam comes out once. Spans that touch a base span are
-dropped, as are those too poor in digits for their kind.
+digit or an ``@``; decoded are the windows of every piece without blanks that holds one, to both of its ends. Each window
+is decoded by Viterbi; where windows overlap, a character's tag is taken from the window in whose middle it lies, and spans
+are then formed over the whole text, so that a span across a seam comes out once. Added spans that touch a base span
+are dropped, as are those that fail their kind's test (octets, checksum, number of digits, a dotted domain).
 
 Defined results: null and empty texts have no spans; without any labelled span the network adds none.
 """
@@ -24,12 +26,18 @@ from tidewatch.llm.common import pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]++")
+# A match never begins inside a run of digits, so a run is read from its begin only.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 TRIGGER = re.compile(r"[0-9@]")
+_UNBLANK = re.compile(r"\S+")
+#: Texts that may hold a base span.
+BASE_HINT = r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){12}|\+[0-9][ ().0-9-]{7}"
+#: What may be data of a kind that the base patterns miss; training does not teach it as plain text.
+_DOUBTFUL = re.compile(r"\S@\S|[0-9](?:[\s().,/\[\]-]{0,3}[0-9]){8,}|[0-9]+(?:[^0-9A-Za-z]{1,4}[0-9]+){3}")
 
 
 def _luhn(digits: str) -> bool:
@@ -38,13 +46,16 @@ def _luhn(digits: str) -> bool:
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the base patterns, by kind, then start."""
-    found = []
+    """(kind, start, end) of the base patterns, by kind, then start, in time proportional to the text."""
+    found, end = [], 0
     if "@" in text:
-        # A match lies within one run of the characters that addresses are made of.
-        for run in _RUN.finditer(text):
-            if "@" in run.group():
-                found += [(0, run.start() + m.start(), run.start() + m.end()) for m in _EMAIL.finditer(run.group())]
+        # A local part is a run that ends before an @, or what an address before it has left of the run.
+        for run in _LOCAL.finditer(text):
+            start, at = max(run.start(), end), run.end()
+            domain = _DOMAIN.match(text, at + 1) if start < at < len(text) and text[at] == "@" else None
+            if domain:
+                end = domain.end()
+                found.append((0, start, end))
     if not re.search("[0-9]", text):
         return found
     for m in _IP.finditer(text):
@@ -69,6 +80,9 @@ class Pii:
     #: Documents, and windows of each sort, that training reads.
     sample: int = 1500
     windows: int = 1500
+    #: Places of each sort that training takes from one document, drawn from its whole text, and the characters around them.
+    places: int = 8
+    context: int = 96
     epochs: int = 6
     rate: float = 0.02
     seed: int = 23
@@ -80,9 +94,12 @@ def symbols(text: str) -> np.ndarray:
 
 
 def window_starts(text: str, p: Pii) -> np.ndarray:
-    """Starts of the windows of the grid that hold a trigger; every trigger's windows are there."""
+    """Starts of the windows of the grid that hold a piece without blanks that has a trigger, to both of its ends."""
     last = max(0, -(-(len(text) - p.window) // p.stride))
-    cells = {m.start() // p.stride for m in TRIGGER.finditer(text)}
+    cells: set[int] = set()
+    for run in _UNBLANK.finditer(text):
+        if TRIGGER.search(text, run.start(), run.end()):
+            cells.update(range(run.start() // p.stride, (run.end() - 1) // p.stride + 1))
     near = {c - k for c in cells for k in range(p.window // p.stride)} | {last} if cells else set()
     return np.array(sorted(min(max(c, 0), last) for c in near), np.int64) * p.stride if near else np.zeros(0, np.int64)
 
@@ -206,45 +223,131 @@ class Tagger:
         return out
 
     def added(self, text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of the network that touch no base span and could be of their kind."""
+        """Spans of the network that touch no base span and hold what their kind wants."""
         cuts = np.flatnonzero(np.diff(tags)) + 1
         taken = np.zeros(len(text) + 1, bool)
         for _, a, b in base:
             taken[a:b] = True
         found = []
         for a, b in zip([0, *cuts], [*cuts, len(tags)]):
-            kind, said = int(tags[a]) - 1, text[a:b]
-            if kind < 0 or taken[a:b].any():
-                continue
-            digits = sum(c in "0123456789" for c in said)
-            least = {0: 0, 1: 4, 2: 13, 3: 9}[kind]
-            if digits >= least and (kind or re.fullmatch(r"[^\s@]+@[^\s@]+", said)):
-                found.append((kind, int(a), int(b)))
+            kind = int(tags[a]) - 1
+            if kind >= 0:
+                a, b = trimmed(text, kind, int(a), int(b))
+                if a < b and not taken[a:b].any() and plausible(text[a:b], kind):
+                    found.append((kind, a, b))
         return sorted(found)
 
 
+def trimmed(text: str, kind: int, start: int, end: int) -> tuple[int, int]:
+    """The span without what can't be its first or last character."""
+    inner = str.isalnum if kind == 0 else str.isdigit
+    while start < end and not inner(text[start]) and not (kind == 3 and text[start] in "(+"):
+        start += 1
+    while end > start and not inner(text[end - 1]):
+        end -= 1
+    return start, end
+
+
+def plausible(said: str, kind: int) -> bool:
+    """Could a tagged text be data of its kind: one @ before a dotted domain, four octets, a card's checksum, a phone's digits."""
+    if kind == 0:
+        return re.fullmatch(r"[^\s@]+@[^\s@.]+(\.[^\s@.]+)+", said) is not None
+    numbers = re.findall("[0-9]+", said)
+    digits = "".join(numbers)
+    if re.search("[A-Za-z]", said):
+        return False
+    if kind == 1:
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    return 13 <= len(digits) <= 19 and _luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+
+
 def _log_sum(x, axis):
     top = x.max(axis=axis, keepdims=True)
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
+_FOREIGN = str.maketrans("aeounscz", "áéöüñśćž")
+
+
+def rewritten(said: str, kind: int, draw: np.random.Generator) -> str:
+    """The same data in a form that the base patterns miss."""
+    digits = re.sub("[^0-9]", "", said)
+    if kind == 0:
+        local, _, domain = said.partition("@")
+        parts = (local.translate(_FOREIGN), domain) if draw.random() < 0.5 else (local, domain.translate(_FOREIGN))
+        return "@".join(parts)
+    if kind == 1:
+        return str(draw.choice([" . ", "[.]", ",", " "])).join(said.split("."))
+    if kind == 2:
+        mark = str(draw.choice([".", "/", "  ", " - ", "_"]))
+        return mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    mark, cut = str(draw.choice([" ", "-", ".", ""])), len(digits) - 4
+    head, middle, tail = digits[: max(cut - 3, 1)], digits[max(cut - 3, 1) : cut], digits[cut:]
+    return str(draw.choice(["00", "(", "", "tel:"])).replace("tel:", "") + mark.join(x for x in (head, middle, tail) if x)
+
+
+def _with_rewritten(text: str, spans: list[tuple[int, int, int]], draw: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with every span in another form, and where the spans are then."""
+    parts, placed, at, size = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < at:
+            continue
+        said = rewritten(text[a:b], kind, draw)
+        size += a - at
+        parts += [text[at:a], said]
+        placed.append((kind, size, size + len(said)))
+        size, at = size + len(said), b
+    return "".join([*parts, text[at:]]), placed
+
+
+def excerpts(text: str, p: Pii) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Pieces around at most ``p.places`` spans and as many other triggers, drawn from the whole text, with their spans."""
+    spans = base_spans(text)
+    draw = np.random.default_rng([p.seed, len(text), len(spans)])
+    bare = np.fromiter((m.start() for m in TRIGGER.finditer(text)), np.int64)
+    for _, a, b in spans:
+        bare = bare[(bare < a - p.context) | (bare >= b + p.context)]
+    middles = [spans[i][1:] for i in sorted(draw.permutation(len(spans))[: p.places])]
+    middles += [(int(bare[i]), int(bare[i]) + 1) for i in sorted(draw.permutation(len(bare))[: p.places])]
+    found = []
+    for a, b in middles:
+        first, stop = max(0, a - p.context), min(len(text), b + p.context)
+        whole = [(k, x - first, y - first) for k, x, y in spans if first <= x and y <= stop]
+        cut = [max(x, first) - first for _, x, y in spans if x < stop < y or x < first < y]
+        if not cut:
+            found.append((text[first:stop], whole))
+    return found
+
+
 def fit(texts: list[str], p: Pii = Pii()) -> Tagger:
-    """Train on windows around the base spans of ``texts`` and on windows with other digits."""
+    """Train on the labelled base spans of whole texts."""
+    return fit_excerpts([piece for text in texts for piece in excerpts(text, p)], p)
+
+
+def fit_excerpts(pieces_: list[tuple[str, list[tuple[int, int, int]]]], p: Pii = Pii()) -> Tagger:
+    """Train on pieces of text with labelled spans.
+
+    Each piece is read as it is and with its spans rewritten into forms that the base patterns miss, in the
+    same context. Windows without a span teach plain text, unless they hold what may be such a form.
+    """
     net, draw = Tagger(p), np.random.default_rng(p.seed)
-    inside, outside = [], []
-    for text in texts:
-        spans = base_spans(text)
-        tags = np.zeros(len(text) + p.window, np.int64)
-        for kind, a, b in reversed(spans):
-            tags[a:b] = kind + 1
-        chars = np.append(symbols(text), np.full(p.window, 129))
-        for s in window_starts(text, p):
-            own = tags[s : s + p.window]
-            (inside if own.any() else outside).append((chars[s : s + p.window], own))
+    inside, changed, outside = [], [], []
+    for text, spans in pieces_:
+        for kept, (said, labelled) in ((inside, (text, spans)), (changed, _with_rewritten(text, spans, draw) if spans else ("", []))):
+            tags = np.zeros(len(said) + p.window, np.int64)
+            for kind, a, b in reversed(labelled):
+                tags[a:b] = kind + 1
+            chars = np.append(symbols(said), np.full(p.window, 129))
+            for s in window_starts(said, p):
+                own = tags[s : s + p.window]
+                if own.any():
+                    kept.append((chars[s : s + p.window], own))
+                elif not _DOUBTFUL.search(said, s, s + p.window):
+                    outside.append((chars[s : s + p.window], own))
     if not inside:
         return net
     pick = lambda rows: [rows[i] for i in draw.permutation(len(rows))[: p.windows]]
-    rows = pick(inside) + pick(outside)
+    rows = pick(inside) + pick(changed) + pick(outside)
     chars, tags = (np.array([r[j] for r in rows]) for j in (0, 1))
     moments, step = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}, 0
     for _ in range(max(p.epochs, min(60, 6000 // len(rows)))):
@@ -265,11 +368,20 @@ def fit(texts: list[str], p: Pii = Pii()) -> Tagger:
 
 
 def train(docs: DataFrame, p: Pii = Pii()) -> Tagger:
-    """Fit on at most ``p.sample`` documents that hold a trigger, lowest by a hash of id and text."""
-    known = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, 1 << 16).alias("text"))
+    """Fit on excerpts of at most ``p.sample`` documents that hold a base span, lowest by a hash of id and text."""
+    known = docs.filter(F.col("text").rlike(BASE_HINT)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
     cut = known.select("h").orderBy("h").limit(p.sample).agg(F.max("h")).first()[0]
-    rows = [] if cut is None else known.filter(F.col("h") <= cut).limit(p.sample).toLocalIterator()
-    return fit(sorted(r.text for r in rows), p)
+    if cut is None:
+        return Tagger(p)
+    out = pa.schema([("text", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
+
+    def run(batches):
+        for _, raw in pieces(batches):
+            found = [piece for text in raw for piece in excerpts(text.decode(), p)]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], out[0].type), pa.array([[list(s) for s in spans] for _, spans in found], out[1].type)], schema=out)
+
+    drawn = known.filter(F.col("h") <= cut).mapInArrow(run, "text string, spans array<array<long>>").limit(2 * p.places * p.sample)
+    return fit_excerpts(sorted((r.text, [tuple(s) for s in r.spans]) for r in drawn.toLocalIterator()), p)
 
 
 def spans_column(docs: DataFrame, model: Tagger) -> DataFrame:
