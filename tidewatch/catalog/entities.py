@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
+from tidewatch.operators import aliases as A
 from tidewatch.operators import relate as R
 from tidewatch.operators.numbering import OrderSpan
 from tidewatch.session import durable
@@ -53,6 +54,67 @@ def address_scopes(t):
     return found.select("doc_id", "raw", R.address_scope(F.col("raw")).alias("scope"))
 
 
+# Reviewed aliases: nations, regions, and the first three and first two words of every benchmark passage. What two of
+# them share is ambiguous. Bodies are whole texts, some of which hold such passages, with one harmed nation at the end.
+_ALIASES = r"""
+nations AS (SELECT n_nationkey, n_name FROM nation),
+bench AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM benchmark),
+aliases AS (
+  SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS alias, 'country' AS kind, n_name AS value FROM nation
+  UNION ALL SELECT trim(regexp_replace(lower(r_name), '[^a-z0-9]+', ' ', 'g')), 'region', r_name FROM region
+  UNION ALL SELECT array_to_string(w[1:3], ' '), 'organization', 'item-' || CAST(item_id AS VARCHAR) FROM bench WHERE len(w) >= 3
+  UNION ALL SELECT array_to_string(w[1:2], ' '), 'organization', 'group-' || CAST(item_id % 7 AS VARCHAR) FROM bench WHERE len(w) >= 2),
+senses AS (
+  SELECT alias, CASE WHEN min(kind) = max(kind) THEN min(kind) END AS kind, CASE WHEN count(DISTINCT kind || '/' || value) = 1 THEN min(value) END AS value,
+    len(string_split(alias, ' ')) AS size FROM aliases GROUP BY alias),
+told AS (SELECT doc_id, text || ' Reports of an attack on ' || n_name || '.' AS body FROM documents JOIN nations ON n_nationkey = doc_id % 25),
+cut AS (SELECT doc_id, body, regexp_extract_all(body, '[\p{L}\p{N}]+') AS raws, string_split_regex(body, '[\p{L}\p{N}]+') AS gaps FROM told),
+words AS (
+  SELECT doc_id, i, lower(raws[i]) AS w, sum(length(gaps[i])) OVER p + coalesce(sum(length(raws[i])) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    length(raws[i]) AS size FROM (SELECT doc_id, raws, gaps, unnest(range(1, len(raws) + 1)) AS i FROM cut) WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (
+  SELECT doc_id, i, start, unnest([w, w || ' ' || lead(w) OVER p, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p]) AS gram,
+    unnest([start + size, lead(start + size) OVER p, lead(start + size, 2) OVER p]) AS stop FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+spelled AS (SELECT doc_id, i, start, stop, kind, value, s.size FROM grams g JOIN senses s ON g.gram = s.alias QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY s.size DESC) = 1),
+chain AS (
+  SELECT doc_id, arg_min(struct_pack(i, start, stop, kind, value, size), i) AS m FROM spelled GROUP BY doc_id
+  UNION ALL
+  SELECT c.doc_id, arg_min(struct_pack(s.i, s.start, s.stop, s.kind, s.value, s.size), s.i) FROM chain c JOIN spelled s ON s.doc_id = c.doc_id AND s.i >= c.m.i + c.m.size
+  GROUP BY c.doc_id)
+"""
+
+
+def _alias_table(t):
+    named = lambda rows: A.words_of(F.col(rows))
+    bench = t["benchmark"].select("item_id", named("text").alias("w")).filter(F.size("w") >= 2)
+    first = lambda k: F.array_join(F.slice("w", 1, k), " ").alias("alias")
+    organization = F.lit("organization").alias("kind")
+    items = bench.filter(F.size("w") >= 3).select(first(3), organization, F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("value"))
+    groups = bench.select(first(2), organization, F.concat(F.lit("group-"), (F.col("item_id") % 7).cast("string")).alias("value"))
+    places = t["nation"].selectExpr("n_name AS alias", "'country' AS kind", "n_name AS value").union(t["region"].selectExpr("r_name", "'region'", "r_name"))
+    return places.union(items).union(groups)
+
+
+def _told(t):
+    return t["documents"].join(t["nation"], F.expr("doc_id % 25 = n_nationkey")).selectExpr(
+        "doc_id", "text || ' Reports of an attack on ' || n_name || '.' AS body", "source")
+
+
+@query(
+    "alias_mentions",
+    """SELECT doc_id, m.kind AS kind, m.value AS value, substr(body, CAST(m.start + 1 AS BIGINT), CAST(m.stop - m.start AS BIGINT)) AS raw,
+         CAST(m.start AS BIGINT) AS start, CAST(m.stop AS BIGINT) AS stop,
+         CASE WHEN m.value IS NULL THEN 'uncertain' WHEN substr(body, 1, CAST(m.start AS BIGINT)) LIKE '%an attack on ' THEN 'affected' ELSE 'mentioned' END AS role
+       FROM chain JOIN told USING (doc_id)""",
+    ctes=("RECURSIVE " + _ALIASES.strip(),),
+)
+def alias_mentions(t):
+    told = _told(t)
+    found = A.alias_mentions(told, "doc_id", "body", _alias_table(t))
+    roles = A.with_roles(found, told, "doc_id", "body", "summary", F.concat("source", F.lit(".example")))
+    return roles.select("doc_id", "kind", "value", "raw", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), "role")
+
+
 # Reports with their subject entities: one CVE and one address each, and one address everybody shares.
 # Report times are 40 minutes apart, so a 30-day window holds 1080 of them.
 _SUBJECTS = """

@@ -125,3 +125,6 @@ RELATION_MIN_SCORE, RELATION_TOP, RELATION_CANDIDATES = 45, 5, 200
 RELATION_WINDOW_DAYS = {"cve": 365}
 RELATION_DEFAULT_WINDOW_DAYS = 30
 GENERIC_ENTITY_SHARE = 0.20
+
+# Words of harm: what is named right behind one of them is affected.
+AFFECTED_BEFORE = r"(?i)\b(attacks? on|strikes? on|targeted|targeting|hit|hits|breached|victims? in|against)\s+(the\s+)?$"
