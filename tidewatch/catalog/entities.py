@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
 from tidewatch.operators import aliases as A
+from tidewatch.operators import near as N
 from tidewatch.operators import relate as R
 from tidewatch.operators.numbering import OrderSpan
 from tidewatch.session import durable
@@ -204,6 +205,31 @@ def relation_metrics(t):
     return metrics.select("queries", "returned", "relevant", *(F.round(c, 6).alias(c) for c in rounded))
 
 
+@query(
+    "topic_metrics",
+    """SELECT topic, count(*) AS queries, CAST(sum(cards) AS BIGINT) AS returned, CAST(sum(hits) AS BIGINT) AS relevant,
+         round(sum(hits) / sum(cards), 6) AS precision_returned, round(count(*) FILTER (WHERE cards > 0) / count(*), 6) AS coverage,
+         round(sum(hits) / (3 * count(*)), 6) AS slot_precision, CAST(sum(reviewed) AS BIGINT) AS reviewed, CAST(sum(wrong) AS BIGINT) AS unsupported,
+         round((sum(reviewed) - sum(wrong)) / sum(reviewed), 6) AS reason_correctness
+       FROM (SELECT l.doc_id, coalesce(any_value(d.source), 'none') AS topic, count(r.id) AS cards, count(r.id) FILTER (WHERE o.toxic = 0) AS hits,
+               count(o.quality) AS reviewed, count(*) FILTER (WHERE o.quality = 0) AS wrong
+             FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN ranked r ON r.id = l.doc_id AND r.rank <= 3 LEFT JOIN labels o ON o.doc_id = r.other_id
+             GROUP BY l.doc_id)
+       GROUP BY GROUPING SETS ((topic), ())""",
+    ctes=(_SUBJECTS, _RANKED),
+)
+def topic_metrics(t):
+    """Labelled documents as queries, their source as topic; quality labels stand for reviewed reasons."""
+    labels = t["labels"]
+    good = labels.select(F.col("doc_id").alias("other_id"), (F.col("toxic") == 0).alias("relevant"), (F.col("quality") == 1).alias("correct"))
+    returned = _related(t).join(good, "other_id", "left").select(F.col("id").alias("query_id"), "rank", F.coalesce("relevant", F.lit(False)).alias("relevant"), "correct")
+    queries = labels.join(t["documents"].select("doc_id", F.col("source").alias("topic")), "doc_id").select(
+        F.col("doc_id").alias("query_id"), (F.col("quality") == 1).alias("has_target"), "topic")
+    m = R.topic_metrics(returned, queries)
+    rounded = ("precision_returned", "coverage", "slot_precision", "reason_correctness")
+    return m.select("topic", "queries", "returned", "relevant", "reviewed", "unsupported", *(F.round(c, 6).alias(c) for c in rounded))
+
+
 @query(
     "mention_metrics",
     f"""SELECT count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE labelled) AS labelled,
@@ -233,6 +259,30 @@ def leakage_split(t):
     return t["documents"].select("doc_id", R.leakage_safe_split(cluster).alias("part"))
 
 
+_NEAR = r"""
+cut AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+runs AS (SELECT doc_id, md5(array_to_string(list_slice(w, i, i + 2), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM cut WHERE len(w) > 0)),
+hashed AS (SELECT doc_id, CAST('0x' || substr(h, 1, 16) AS UBIGINT) AS h FROM runs),
+votes AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM hashed, (SELECT unnest(range(64)) AS i) GROUP BY ALL),
+marks AS (SELECT doc_id, CAST(sum(CASE WHEN v > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END) AS UBIGINT) AS f FROM votes GROUP BY doc_id),
+edges AS (SELECT x.doc_id AS a, y.doc_id AS b FROM marks x, marks y WHERE x.doc_id <> y.doc_id AND bit_count(xor(x.f, y.f)) <= 3),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+clusters AS (SELECT a AS doc_id, min(b) AS cluster FROM reach GROUP BY a)
+"""
+
+
+@query(
+    "near_duplicate_split",
+    """SELECT doc_id, cluster, CASE WHEN p < 60 THEN 'train' WHEN p < 80 THEN 'dev' ELSE 'test' END AS part FROM (
+         SELECT doc_id, cluster, CAST('0x' || substr(sha1(CAST(cluster AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS p FROM clusters)""",
+    ctes=("RECURSIVE " + _NEAR.strip(),),
+)
+def near_duplicate_split(t):
+    """Near-duplicates, and what is connected through them, fall on the same side."""
+    clusters = N.near_clusters(t["documents"], "doc_id", "text")
+    return clusters.select("doc_id", "cluster", R.leakage_safe_split(F.col("cluster").cast("string")).alias("part"))
+
+
 @query(
     "timeline_entries",
     """SELECT user_id, entry, rank, total > 20 AS truncated FROM (

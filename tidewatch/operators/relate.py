@@ -167,19 +167,40 @@ def relation_metrics(returned: DataFrame, queries: DataFrame, cap: int = 3) -> D
 
     ``returned``: ``query_id, rank, relevant``; ``queries``: ``query_id, has_target``.
     """
+    judged = _judged(returned.withColumn("correct", F.lit(None).cast("boolean")), queries, cap)
+    return judged.agg(*_retrieval(cap))
+
+
+def topic_metrics(returned: DataFrame, queries: DataFrame, cap: int = 3) -> DataFrame:
+    """The same per topic of the query and in total (topic null), in one plan, with reason correctness.
+
+    ``returned`` also holds ``correct``: does the stated reason hold in both reports (null: not reviewed);
+    ``queries`` also ``topic``. A returned card whose reason is wrong is an unsupported attribution. A query without a topic counts as ``none``.
+    """
+    judged = _judged(returned, queries, cap).withColumn("topic", F.coalesce("topic", F.lit("none")))
+    reviewed, wrong = F.sum("reviewed"), F.sum("wrong")
+    sets = judged.groupingSets([["topic"], []], "topic").agg(
+        *_retrieval(cap), reviewed.alias("reviewed"), wrong.alias("unsupported"), F.try_divide(reviewed - wrong, reviewed).alias("reason_correctness"))
+    return sets
+
+
+def _judged(returned: DataFrame, queries: DataFrame, cap: int) -> DataFrame:
     per_query = returned.filter(F.col("rank") <= cap).groupBy("query_id").agg(
-        F.count("*").alias("cards"), F.count_if("relevant").alias("hits")
+        F.count("*").alias("cards"), F.count_if("relevant").alias("hits"), F.count("correct").alias("reviewed"), F.count_if(~F.col("correct")).alias("wrong")
     )
-    joined = queries.join(per_query, "query_id", "left").fillna(0, ["cards", "hits"])
+    return queries.join(per_query, "query_id", "left").fillna(0, ["cards", "hits", "reviewed", "wrong"])
+
+
+def _retrieval(cap: int) -> list[Column]:
     n, cards, hits = F.count("*"), F.sum("cards"), F.sum("hits")
     eligible = F.count_if("has_target")
-    return joined.agg(
+    return [
         n.alias("queries"), cards.alias("returned"), hits.alias("relevant"),
         F.try_divide(hits, cards).alias("precision_returned"),
         F.try_divide(F.count_if(F.col("cards") > 0), n).alias("coverage"),
         F.try_divide(F.count_if(F.col("has_target") & (F.col("hits") > 0)), eligible).alias("eligible_coverage"),
         F.try_divide(hits, n * cap).alias("slot_precision"),
-    )
+    ]
 
 
 def mention_metrics(found: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
