@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import near as N
 from tidewatch.operators import relate as R
+from tidewatch.operators.numbering import OrderSpan, number
 
 
 def fingerprint_by_hand(text, words=3):
@@ -87,3 +88,16 @@ def test_components_of_a_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in (*range(31), 50, 51, 99)], "node long")
     got = {r.node: r.cluster for r in N.components(edges, nodes).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 50: 50, 51: 50, 99: 99}
+
+
+def test_ranges_stay_even_under_outliers_and_far_apart_blocks(spark):
+    ids = [(f << 20) + k for f in (0, 5, 6, 900_000) for k in range(500)] + [2**55]
+    rows = spark.createDataFrame([(i,) for i in ids], "seq long").repartition(5)
+    span = OrderSpan.of(rows, "seq", 40)
+    sizes = [r["count"] for r in rows.groupBy(span.bucket().alias("b")).count().collect()]
+    assert len(sizes) >= 38 and max(sizes) <= 2 * len(ids) / 40
+    got = {r.seq: r.n for r in number(rows, span, "n").collect()}
+    assert got == {x: i + 1 for i, x in enumerate(sorted(ids))}
+    assert number(rows.limit(0), OrderSpan.of(rows.limit(0), "seq"), "n").count() == 0
+    wide = OrderSpan.of(rows, "seq", 1024)
+    assert {r.seq: r.n for r in number(rows, wide, "n", start=5).collect()} == {x: i + 5 for i, x in enumerate(sorted(ids))}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
 from tidewatch.operators import aliases as A
 from tidewatch.operators import near as N
 from tidewatch.operators import relate as R
-from tidewatch.operators.numbering import OrderSpan
 from tidewatch.session import durable
 
 _PLANTED = """text || ' Advisory CVE-2024-' || CAST(1000 + doc_id % 97 AS STRING) || ' lists 10.0.' || CAST(doc_id % 50 AS STRING)
@@ -146,7 +147,7 @@ def _subjects(t):
 
 
 def _pairs(t):
-    return R.candidate_pairs(_subjects(t), OrderSpan("ord", t.doc_span.low, t.doc_span.high), carried=("t", "region"))
+    return R.candidate_pairs(_subjects(t), replace(t.doc_span, column="ord"), carried=("t", "region"))
 
 
 @query("entity_candidates", "SELECT id, other_id, kind, value FROM pairs", ctes=(_SUBJECTS,))

@@ -1,6 +1,6 @@
 """Dense numbering in arrival order that no single task has to see whole.
 
-Rows are cut into a fixed number of order ranges; the ranges are counted with
+Rows are cut into a fixed number of order ranges by quantiles of the order column; the ranges are counted with
 map-side combine, and each row adds its rank inside its range to the rows of
 the earlier ranges. A hot key is spread over all ranges it occurs in.
 """
@@ -13,17 +13,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 4096
+MAX_RANGES, STRETCH = 4096, 64
 
 
 @dataclass(frozen=True)
 class OrderSpan:
-    """Extent of a unique integer order column, cut into ``ranges`` equal widths."""
+    """Extent of a unique integer order column, cut into ranges.
+
+    ``cuts`` are ascending range starts, drawn from a quantile sketch, so that outliers and clustered values do not
+    fill single ranges; without them the extent is cut into ``ranges`` equal widths.
+    """
 
     column: str
     low: int
     high: int
     ranges: int = 1024
+    cuts: tuple[int, ...] = ()
 
     def __post_init__(self):
         if not 1 <= self.ranges <= MAX_RANGES:
@@ -31,13 +36,25 @@ class OrderSpan:
 
     @classmethod
     def of(cls, df: DataFrame, column: str, ranges: int = 1024) -> OrderSpan:
-        """One narrow pass; keep ``df`` close to the scan so footers can answer it."""
+        """One narrow pass over the order column."""
+        shares = [i / ranges for i in range(ranges + 1)]
+        found = df.select(F.col(column).cast("double").alias("x")).approxQuantile("x", shares, 1 / (4 * ranges))
+        if not found:
+            return cls(column, 0, 0, ranges)
         low, high = df.agg(F.min(column), F.max(column)).first()
-        return cls(column, low or 0, high or 0, ranges)
+        return cls(column, low, high, ranges, tuple(sorted({int(x) for x in found[1:-1]})))
 
     def bucket(self) -> Column:
-        width = max(1, -(-(self.high - self.low + 1) // self.ranges))
-        return F.floor((F.col(self.column) - F.lit(self.low)) / F.lit(width)).cast("long")
+        if not self.cuts:
+            width = max(1, -(-(self.high - self.low + 1) // self.ranges))
+            return F.floor((F.col(self.column) - F.lit(self.low)) / F.lit(width)).cast("long")
+        # Two steps of a search tree: first among every 64th cut, then inside that stretch.
+        value, stretches = F.col(self.column), [self.cuts[i : i + STRETCH] for i in range(0, len(self.cuts), STRETCH)]
+        starts = F.array(*(F.lit(s[0]).cast("long") for s in stretches))
+        passed = F.size(F.filter(starts, lambda x: x <= value))
+        inside = F.array(F.array().cast("array<bigint>"), *(F.array(*(F.lit(x).cast("long") for x in s)) for s in stretches))
+        more = F.size(F.filter(F.get(inside, passed), lambda x: x <= value))
+        return (F.greatest(passed - 1, F.lit(0)) * STRETCH + more).cast("long")
 
 
 def number(df: DataFrame, span: OrderSpan, out: str, *, start: int = 1) -> DataFrame:

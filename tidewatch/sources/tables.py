@@ -6,6 +6,7 @@ table and can be written identically in SQL (see ``tidewatch.catalog.oracle``).
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ class Tables:
         return OrderSpan.of(self.spark.read.parquet(f"{self.directory}/documents.parquet"), "doc_id")
 
     def seq_span(self) -> OrderSpan:
-        return OrderSpan("seq", self.doc_span.low, self.doc_span.high, self.doc_span.ranges)
+        return replace(self.doc_span, column="seq")
 
     @cached_property
     def articles(self) -> DataFrame:
