@@ -6,7 +6,7 @@ from tests.helpers import AS_OF, article, batch
 
 from tidewatch.plans.cycle import Batch, Policy, UnsafeLocations, current_manifest, current_state, run_cycle
 from tidewatch.plans.publication import (
-    BootstrapRequired, PayloadHashMismatch, documents, import_state, pending, repair_mirrors, replay, require_bootstrap,
+    BootstrapRequired, PayloadHashMismatch, documents, import_state, mirror_path, pending, repair_mirrors, replay, require_bootstrap,
 )
 from tidewatch.plans.reaudit import reaudit
 from tidewatch.plans.warehouse import Warehouse
@@ -113,9 +113,10 @@ def test_replay_is_ordered_and_repair_only_goes_forward(spark, folder):
     assert pending(house) == [1, 2]
     assert replay(spark, root, mirrors) == [1, 2] and replay(spark, root, mirrors) == []
     assert not repair_mirrors(spark, root, mirrors)
-    spark.createDataFrame([(99,)], "id bigint").write.mode("overwrite").json(f"{mirrors}/events")
-    assert repair_mirrors(spark, root, mirrors)
-    docs = spark.read.json(f"{mirrors}/events")
+    spark.createDataFrame([(99,)], "id bigint").write.mode("overwrite").json(f"{mirror_path(spark, mirrors)}/events")
+    broken = mirror_path(spark, mirrors)
+    assert repair_mirrors(spark, root, mirrors) and mirror_path(spark, mirrors) != broken
+    docs = spark.read.json(f"{mirror_path(spark, mirrors)}/events")
     assert docs.count() == 1 and docs.first()["sources"] == ["https://one.example/a", "https://www.two.example/b"]
 
 

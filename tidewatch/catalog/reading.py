@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import oracle as O
@@ -9,6 +11,8 @@ from tidewatch.catalog.registry import query
 from tidewatch.functions import text, times
 from tidewatch.functions import vocabulary as V
 from tidewatch.operators import checks, views
+from tidewatch.session import shared_folder
+from tidewatch.sources.snapshots import Place, read_snapshot
 from tidewatch.sources.tables import AS_OF, EVENTS_AS_OF
 
 _24H = f"ts BETWEEN {AS_OF} - {O.DAY} AND {AS_OF}"
@@ -59,6 +63,17 @@ def _lens_reports(t):
 
 
 def _lens_query(name: str, condition: str):
+    key = "ingested_at" if name == "emerging" else "ts"
+
+    @query(
+        f"lens_page_{name}",
+        f"""SELECT id, row_number() OVER (ORDER BY {key} DESC, id DESC) AS place FROM lens_reports WHERE ts <= {AS_OF} AND {condition}
+            QUALIFY row_number() OVER (ORDER BY {key} DESC, id DESC) <= 50""",
+        ctes=(*O.REPORT_CTES, _LENS),
+    )
+    def page(t):
+        return views.lens_page(_lens_reports(t), name, AS_OF).select("id", "place")
+
     @query(
         f"lens_{name}",
         f"SELECT id, ts FROM lens_reports WHERE ts <= {AS_OF} AND {condition}",
@@ -159,6 +174,30 @@ def briefing_windows(t):
     return views.briefing_counts(t.stream_events, EVENTS_AS_OF)
 
 
+@query(
+    "briefing_totals",
+    f"""SELECT period, t, CAST(sum(n) AS BIGINT) AS reports FROM (
+          SELECT p.period, q.t, count(x.id) AS n FROM (SELECT unnest({list(V.RANGE_DAYS)}) AS period) p CROSS JOIN (SELECT unnest({list(V.TOPICS)}) AS t) q
+          LEFT JOIN ({_PERIODS}) x ON x.period = p.period AND x.t = q.t GROUP BY p.period, q.t)
+        GROUP BY GROUPING SETS ((period, t), (period))""",
+    ctes=(O.STREAM, ),
+)
+def briefing_totals(t):
+    """Events of the stream under topics of which some never occur."""
+    return views.briefing_totals(t.stream_events, EVENTS_AS_OF)
+
+
+@query(
+    "board_counts",
+    f"""SELECT q.t, count(r.id) AS total, greatest(count(r.id) - 3, 0) AS remaining FROM (SELECT unnest({list(V.TOPICS)}) AS t) q
+        LEFT JOIN (SELECT * FROM reports WHERE t <> 'maritime') r ON r.t = q.t GROUP BY q.t""",
+    ctes=O.REPORT_CTES,
+)
+def board_counts(t):
+    """Boards of a selection that leaves one topic empty."""
+    return views.board_counts(t.reports.filter("t <> 'maritime'"))
+
+
 @query(
     "briefing_stories",
     f"""SELECT period, id, rank FROM (SELECT period, id, row_number() OVER (PARTITION BY period ORDER BY ts DESC, id DESC) AS rank
@@ -278,13 +317,31 @@ def latest_snapshot(t):
     ctes=(O.STREAM,),
 )
 def freshness(t):
+    return views.freshness(_manifests(t), EVENTS_AS_OF).select("id", "kind", "age")
+
+
+def _manifests(t):
     i, ts = F.col("id"), F.col("ts")
     sync = F.when(i % 2 == 0, F.lit(EVENTS_AS_OF) - ts % 3_600_000).otherwise(ts)
-    manifests = t.stream_events.select(
+    return t.stream_events.select(
         "id", F.when(i % 11 == 0, 0).otherwise(sync).alias("last_sync"),
         F.when(i % 7 == 0, "error").when(i % 5 == 0, "degraded").otherwise("ok").alias("health"),
     )
-    return views.freshness(manifests, EVENTS_AS_OF).select("id", "kind", "age")
+
+
+@query(
+    "freshness_labels",
+    f"""SELECT id, CASE WHEN id % 13 = 0 THEN 'demo' WHEN id % 7 = 0 THEN 'error' WHEN id % 11 = 0 OR mins >= 30 OR id % 5 = 0 THEN 'delayed' ELSE 'ok' END AS kind,
+          CASE WHEN id % 13 = 0 THEN 'Demo · fictional events' WHEN id % 7 = 0 THEN 'Sources unavailable' WHEN id % 11 = 0 OR mins >= 30 THEN 'Data delayed · ' || age
+               WHEN id % 5 = 0 THEN 'Some sources unavailable' ELSE 'Updated ' || age END AS label
+        FROM (SELECT id, mins, CASE WHEN mins < 1 THEN 'just now' WHEN mins < 60 THEN CAST(mins AS VARCHAR) || 'm ago'
+               WHEN mins < 1440 THEN CAST(mins // 60 AS VARCHAR) || 'h ago' ELSE CAST(mins // 1440 AS VARCHAR) || 'd ago' END AS age
+          FROM (SELECT id, greatest(0, CAST(floor(({EVENTS_AS_OF} - CASE WHEN id % 11 = 0 THEN 0 ELSE sync END) / 60000.0) AS BIGINT)) AS mins FROM (
+            SELECT id, CASE WHEN id % 2 = 0 THEN {EVENTS_AS_OF} - ts % 3600000 ELSE ts END AS sync FROM stream)))""",
+    ctes=(O.STREAM,),
+)
+def freshness_labels(t):
+    return views.freshness(_manifests(t), EVENTS_AS_OF, demo=F.col("id") % 13 == 0).select("id", "kind", "label")
 
 
 @query(
@@ -311,6 +368,33 @@ def snapshot_consistency(t):
     return checks.snapshot_consistency(t.reports, manifest)
 
 
+@query(
+    "snapshot_chain",
+    """SELECT 'first' AS asked, 'snapshot' AS served, count(*) AS events, max(id) + 1 AS next_event_id, max(ts) AS last_attempt FROM reports
+       UNION ALL SELECT 'second', 'mirror', count(*), 9000000, max(ts) + 5 FROM reports WHERE id % 2 = 0
+       UNION ALL SELECT 'none', 'empty', 0, 1, 0""",
+    ctes=O.REPORT_CTES,
+)
+def snapshot_chain(t):
+    """A snapshot without counters, a mirror behind a place that does not exist, and no place at all."""
+    root = f"{shared_folder(t.spark)}/chain-{uuid.uuid4().hex}"
+    reports = t.reports.select("id", "t", "sev", "title", "ts")
+    some = reports.filter("id % 2 = 0")
+    late = F.max("ts").alias("last_sync")
+    reports.write.json(f"{root}/snapshot/events")
+    reports.agg(late).write.json(f"{root}/snapshot/manifest")
+    some.write.json(f"{root}/mirror/events")
+    some.agg(late, (F.max("ts") + 5).alias("last_attempt"), F.lit(9_000_000).alias("next_event_id")).write.json(f"{root}/mirror/manifest")
+    place = lambda name, folder: Place(name, f"{root}/{folder}/events", f"{root}/{folder}/manifest")
+    asked = {"first": [place("snapshot", "snapshot"), place("mirror", "mirror")], "second": [place("snapshot", "gone"), place("mirror", "mirror")], "none": [place("snapshot", "gone")]}
+    rows = None
+    for name, places in asked.items():
+        found = read_snapshot(t.spark, places)
+        row = found.manifest.select(F.lit(name).alias("asked"), F.lit(found.served).alias("served"), "events", "next_event_id", "last_attempt")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query(
     "load_snapshot",
     "SELECT count(*) AS events, max(id) + 1 AS next_event_id, max(ts) AS last_attempt FROM reports",

@@ -114,6 +114,12 @@ def lens_order(name: str) -> list[Column]:
     return [F.col(key).desc(), F.col("id").desc()]
 
 
+def lens_page(events: DataFrame, name: str, as_of_ms: int, size: int = V.INDEX_PAGE) -> DataFrame:
+    """The first ``size`` reports of a lens in its order, with their ``place`` from 1. The window sees those rows only."""
+    shown = lens_list(events, name, as_of_ms).orderBy(*lens_order(name)).limit(size)
+    return shown.withColumn("place", F.row_number().over(Window.orderBy(*lens_order(name))))
+
+
 def live_events(events: DataFrame, limit: int = V.LIVE_EVENTS) -> DataFrame:
     """The bounded live projection: most recently ingested first."""
     return events.orderBy(F.coalesce("ingested_at", "ts").desc(), F.col("id").desc()).limit(limit)
@@ -157,6 +163,16 @@ def topic_boards(events: DataFrame, page: int = V.BOARD_PAGE) -> DataFrame:
     return shown.join(totals, "t").withColumn("remaining", F.greatest(F.col("total") - page, F.lit(0)))
 
 
+def board_counts(events: DataFrame, page: int = V.BOARD_PAGE) -> DataFrame:
+    """Every topic with its total and how many remain behind the first ``page``; a topic without events has zeros."""
+    totals = events.groupBy("t").agg(F.count("*").alias("total"))
+    return _topics(events).join(totals, "t", "left").fillna(0, ["total"]).withColumn("remaining", F.greatest(F.col("total") - page, F.lit(0)))
+
+
+def _topics(events: DataFrame) -> DataFrame:
+    return events.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, V.TOPICS))).alias("t"))
+
+
 def _window_labels(as_of_ms: int) -> Column:
     """The briefing windows a row falls into; they overlap, so a row can be in several."""
     labels = (F.when(in_range(name, as_of_ms), F.lit(name)) for name in V.RANGE_DAYS)
@@ -171,6 +187,13 @@ def briefing_counts(events: DataFrame, as_of_ms: int) -> DataFrame:
     return per_topic.unpivot("t", list(V.RANGE_DAYS), "period", "reports").filter("reports > 0")
 
 
+def briefing_totals(events: DataFrame, as_of_ms: int) -> DataFrame:
+    """Reports per window in total (t null) and of every topic, zeros included. Topics are counted once, then folded into windows."""
+    per_topic = _topics(events).join(events.groupBy("t").agg(*(F.count_if(in_range(name, as_of_ms)).alias(name) for name in V.RANGE_DAYS)), "t", "left")
+    folded = per_topic.fillna(0).unpivot("t", list(V.RANGE_DAYS), "period", "reports")
+    return folded.groupingSets([["period", "t"], ["period"]], "period", "t").agg(F.sum("reports").alias("reports"))
+
+
 def briefing_stories(events: DataFrame, as_of_ms: int, top: int = 5) -> DataFrame:
     """The newest reports of each window."""
     rows = events.select("id", "title", "ts", F.explode(_window_labels(as_of_ms)).alias("period"))
@@ -250,19 +273,19 @@ def manifest_counts(events: DataFrame, **extra: Column | int) -> DataFrame:
     ).withColumns({k: F.lit(v) if isinstance(v, int) else v for k, v in extra.items()})
 
 
-def freshness(manifests: DataFrame, as_of_ms: int, disconnected: bool = False) -> DataFrame:
-    """Status kind, label and age of each manifest at ``as_of``."""
-    c = F.col
+def freshness(manifests: DataFrame, as_of_ms: int, disconnected: bool = False, demo: Column | bool = False) -> DataFrame:
+    """Status kind, label and age of each manifest at ``as_of``; demonstration data says so before anything else."""
+    c, demo = F.col, F.lit(demo) if isinstance(demo, bool) else demo
     minutes = F.greatest(F.lit(0), F.floor((F.lit(as_of_ms) - c("last_sync")) / 60_000))
     age = times.age_label(as_of_ms, c("last_sync"))
     never = F.coalesce(c("last_sync"), F.lit(0)) == 0
     late = never | (minutes >= 30)
     error = c("health") == "error"
     kind = (
-        F.when(error, "error").when(F.lit(disconnected) | late | (c("health") == "degraded"), "delayed").otherwise("ok")
+        F.when(demo, "demo").when(error, "error").when(F.lit(disconnected) | late | (c("health") == "degraded"), "delayed").otherwise("ok")
     )
     label = (
-        F.when(error, "Sources unavailable")
+        F.when(demo, "Demo · fictional events").when(error, "Sources unavailable")
         .when(F.lit(disconnected), "Connection interrupted")
         .when(late, F.concat(F.lit("Data delayed · "), age))
         .when(c("health") == "degraded", "Some sources unavailable")

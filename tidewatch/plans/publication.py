@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from tidewatch.plans.warehouse import Warehouse, table_digest
 from tidewatch.schemas import DOCUMENT
 
 INLINE_SOURCES = 10_000
+POINTER = "sequence bigint, turn bigint, path string"
 
 
 class PayloadHashMismatch(RuntimeError):
@@ -96,7 +99,10 @@ def replay(spark: SparkSession, root: str, mirrors: str) -> list[int]:
 
 
 def write_mirrors(house: Warehouse, sequence: int, mirrors: str) -> None:
-    """The event documents and the manifest of one sequence as JSON tables."""
+    """The event documents and the manifest of one sequence as JSON tables in a folder of their own, then the pointer to it.
+
+    Nothing that a reader may have open is written over: a repeated or repaired sequence gets a new folder.
+    """
     live, sources = _live(house, sequence)
     docs = documents(live, sources)
     payload = F.to_json(F.struct(*(c for c in docs.columns if c != "part")))
@@ -105,22 +111,43 @@ def write_mirrors(house: Warehouse, sequence: int, mirrors: str) -> None:
     broken = docs.select("id", payload.alias("payload")).select("id", rules).filter(F.size("rules") > 0).limit(1).first()
     if broken is not None:
         raise ContractBroken(f"event {broken['id']}: {', '.join(broken['rules'])}")
-    docs.write.mode("overwrite").json(f"{mirrors}/events")
-    house.read("manifests", sequence).write.mode("overwrite").json(f"{mirrors}/manifest")
+    copy = f"sequence={sequence}/copy={uuid.uuid4().hex}"
+    docs.write.json(f"{mirrors}/{copy}/events")
+    house.read("manifests", sequence).write.json(f"{mirrors}/{copy}/manifest")
+    turn = pointers(house.spark, mirrors).count()
+    row = house.spark.range(1).select(F.lit(sequence).cast("long").alias("sequence"), F.lit(turn).cast("long").alias("turn"), F.lit(copy).alias("path"))
+    row.coalesce(1).write.mode("append").json(f"{mirrors}/pointers")
+
+
+def pointers(spark: SparkSession, mirrors: str) -> DataFrame:
+    """Every pointer written so far: sequence, turn, path."""
+    try:
+        return spark.read.schema(POINTER).json(f"{mirrors}/pointers")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], POINTER)
+
+
+def mirror_path(spark: SparkSession, mirrors: str) -> str | None:
+    """The folder of the newest sequence's newest copy, for readers; None before the first."""
+    newest = pointers(spark, mirrors).agg(F.max(F.struct("sequence", "turn", "path")).alias("p")).first()["p"]
+    return None if newest is None else f"{mirrors}/{newest['path']}"
 
 
 def mirror_digest(spark: SparkSession, mirrors: str) -> str | None:
+    path = mirror_path(spark, mirrors)
     try:
-        rows = spark.read.schema(DOCUMENT).json(f"{mirrors}/events")
+        rows = None if path is None else spark.read.schema(DOCUMENT).json(f"{path}/events")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
-    return rows.agg(table_digest(rows)).first()[0]
+        rows = None
+    return None if rows is None else rows.agg(table_digest(rows)).first()[0]
 
 
 def repair_mirrors(spark: SparkSession, root: str, mirrors: str) -> bool:
-    """Rewrite the mirrors when they are missing or differ from the newest published sequence; never older."""
+    """Write a new copy when the mirrors are missing or differ from the newest published sequence; never older."""
     house = Warehouse(spark, root)
     newest = states(house).filter("state = 'published'").agg(F.max("sequence")).first()[0]
     if newest is None:
@@ -133,6 +160,49 @@ def repair_mirrors(spark: SparkSession, root: str, mirrors: str) -> bool:
     return True
 
 
+def vacuum(spark: SparkSession, root: str, mirrors: str | None = None, keep: int = 8) -> dict:
+    """Delete what no reader can reach any more; returns how many folders went.
+
+    The ``keep`` newest sequences stay readable, and with them every pending one. Gone are, of the fold's tables, bases before
+    the one that the oldest of these is read with and the deltas merged into it, and in the mirrors all copies but the ``keep`` newest.
+    History is kept whole.
+    """
+    house = Warehouse(spark, root)
+    newest = house.committed()
+    oldest = min([max(newest - keep + 1, 1), *pending(house)]) if newest else 0
+    found = house.read("manifests", oldest).select("base_generation").first() if oldest else None
+    generation = (found and found[0]) or 0
+    gone = 0
+    if generation:
+        for keyed in FoldState(house, newest, Base()).tables():
+            gone += _delete(spark, f"{house.root}/{keyed.table}_base", "generation=", lambda n: n < generation)
+            if keyed.columns != keyed.keys:
+                gone += _delete(spark, f"{house.root}/{keyed.table}", "sequence=", lambda n: n <= generation)
+    if mirrors is not None:
+        kept = {r["path"] for r in pointers(spark, mirrors).orderBy(F.desc("sequence"), F.desc("turn")).select("path").limit(keep).collect()}
+        for sequence in _children(spark, mirrors, "sequence="):
+            for copy in _children(spark, f"{mirrors}/{sequence}", "copy="):
+                if f"{sequence}/{copy}" not in kept:
+                    gone += _remove(spark, f"{mirrors}/{sequence}/{copy}")
+    return {"oldest": oldest, "generation": generation, "deleted": gone}
+
+
+def _children(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def _remove(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return int(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def _delete(spark: SparkSession, folder: str, prefix: str, old) -> int:
+    return sum(_remove(spark, f"{folder}/{name}") for name in _children(spark, folder, prefix) if old(int(name.removeprefix(prefix))))
+
+
 def import_state(spark: SparkSession, root: str, events: DataFrame, sources: DataFrame, identity: str, as_of_ms: int,
                  next_event_id: int = 1) -> dict:
     """Take over an existing event table as the first sequence; repeating the import changes nothing."""
