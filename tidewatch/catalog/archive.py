@@ -9,6 +9,7 @@ from tidewatch.catalog.registry import query
 from tidewatch.catalog.stories import fold
 from tidewatch.functions import hashing, urls
 from tidewatch.operators import audit, checks, history
+from tidewatch.operators import contract_paths as P
 from tidewatch.sources.tables import AS_OF
 
 # Sources of the history: reports' articles under two providers.
@@ -423,6 +424,31 @@ def detail_violations(t):
     return rows.select(F.explode(checks.detail_violations()).alias("rule")).groupBy("rule").agg(F.count("*").alias("artifacts"))
 
 
+_BROKEN_PATHS = {
+    0: [(".entities[].mentions[].surprise", "unknown_field")], 1: [(".evidence", "array_bound")], 2: [(".related[].target.eventId", "wrong_type")],
+    3: [("", "not_json")], 4: [(".truncated.note", "unknown_field"), (".entities[].mentions", "array_bound")], 5: [(".generatedAt", "wrong_type")],
+    6: [(".related[].reasons[].evidenceUids[]", "wrong_type")], 7: [(".extra", "unknown_field")],
+}
+
+
+@query(
+    "contract_paths",
+    "SELECT doc_id, path, rule FROM documents JOIN (VALUES "
+    + ", ".join(f"({k}, '{path}', '{rule}')" for k, rows in _BROKEN_PATHS.items() for path, rule in rows)
+    + ") v(k, path, rule) ON doc_id % 9 = k",
+)
+def contract_paths(t):
+    """A detail artifact of every document's text, broken in one or two places, or sound."""
+    k = "doc_id % 9"
+    payload = f"""CASE WHEN {k} = 3 THEN '{{"eventUid": ' ELSE to_json(named_struct(
+      'schemaVersion', 1, 'eventUid', CAST(doc_id AS STRING), 'generatedAt', CASE WHEN {k} = 5 THEN 'noon' END, 'extra', IF({k} = 7, array(array(1)), NULL),
+      'evidence', array_repeat(named_struct('evidenceUid', 'e1', 'title', substring(text, 1, 60), 'publishedAt', CAST(NULL AS BIGINT)), IF({k} = 1, 21, 20)),
+      'entities', array(named_struct('entityUid', 'n1', 'mentions', array_repeat(named_struct('role', 'subject', 'start', 2, 'surprise', IF({k} = 0, named_struct('a', 1), NULL)), IF({k} = 4, 6, 5)))),
+      'related', array(named_struct('target', named_struct('eventId', IF({k} = 2, 1.5, NULL)), 'reasons', array(named_struct('evidenceUids', IF({k} = 6, array('1', NULL), array('1')))))),
+      'truncated', named_struct('evidence', true, 'note', IF({k} = 4, 'x', NULL)))) END AS payload"""
+    return P.contract_violations(t["documents"].selectExpr("doc_id", payload), "doc_id", "payload", P.DETAIL)
+
+
 @query(
     "detail_mismatches",
     """SELECT o_orderkey AS event, 'eventUid' AS field FROM orders WHERE o_orderkey % 6 = 0
