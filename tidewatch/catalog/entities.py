@@ -323,6 +323,52 @@ def corrections_applied(t):
     return moved.groupBy("id").agg(F.count("*").alias("orders"))
 
 
+# Customers as events, their orders as sources. Every 10th is split: urgent orders to one successor, the rest to another;
+# the urgent successor of every 20th is merged into customer 1, a split of the rest of every 30th begins later; every 19th is retracted.
+_SPLIT = """
+gone AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 19 = 0),
+routed AS (
+  SELECT o_orderkey, CASE WHEN k % 10 <> 0 THEN k WHEN urgent AND k % 20 = 0 THEN 1 WHEN urgent THEN 1000000 + k ELSE 2000000 + k END AS id
+  FROM (SELECT o_orderkey, o_custkey AS k, o_orderpriority = '1-URGENT' AS urgent FROM orders))
+"""
+
+
+def _split_lineage(t):
+    c = F.col("c_custkey")
+    row = lambda keep, new, part, begin: t["customer"].filter(keep).select(
+        c.alias("old_id") if new is not None else (c + 1_000_000).alias("old_id"), (F.lit(1) if new is None else c + new).cast("long").alias("new_id"),
+        F.lit(part).cast("string").alias("part"), F.lit(begin).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
+    rows = row(c % 10 == 0, 1_000_000, "1-URGENT", None).union(row(c % 10 == 0, 2_000_000, None, 5)).union(row(c % 20 == 0, None, None, 7))
+    later = t["customer"].filter(c % 30 == 0).select((c + 2_000_000).alias("old_id"), (c + 3_000_000).alias("new_id"), F.lit(None).cast("string").alias("part"),
+                                                     F.lit(100).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
+    return R.active(rows.union(later), 50)
+
+
+@query(
+    "split_lineage",
+    "SELECT id, count(*) AS orders FROM routed WHERE id NOT IN (SELECT id FROM gone) GROUP BY id",
+    ctes=(_SPLIT,),
+)
+def split_lineage(t):
+    sources = t["orders"].select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("part"), "o_orderkey")
+    routed = R.route_sources(sources, _split_lineage(t))
+    gone = t["customer"].filter("c_custkey % 19 = 0").select(F.col("c_custkey").alias("id"))
+    return routed.join(gone, "id", "left_anti").groupBy("id").agg(F.count("*").alias("orders"))
+
+
+@query(
+    "stale_after_split",
+    """SELECT DISTINCT o_custkey AS left_id, o_orderkey % 50 AS right_id FROM orders WHERE o_custkey % 10 = 0 OR o_custkey % 19 = 0 OR o_custkey = 1""",
+)
+def stale_after_split(t):
+    """Edges of events that a split, merge or retraction touches, on any level."""
+    edges = t["orders"].select(F.col("o_custkey").alias("left_id"), (F.col("o_orderkey") % 50).alias("right_id")).distinct()
+    tombstones = t["customer"].filter("c_custkey % 19 = 0").select(F.col("c_custkey").alias("id"))
+    touched = R.touched_by(_split_lineage(t), tombstones)
+    shifted = edges.withColumn("right_id", -F.col("right_id") - 1)  # the other side is of another kind
+    return R.stale_edges(shifted, touched).select("left_id", (-F.col("right_id") - 1).alias("right_id"))
+
+
 @query(
     "stale_edges",
     """SELECT l_partkey, l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)

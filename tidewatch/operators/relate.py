@@ -248,6 +248,39 @@ def resolve_lineage(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise ValueError("merge corrections form a cycle")
 
 
+def active(corrections: DataFrame, as_of_ms: int) -> DataFrame:
+    """Corrections in force at ``as_of``: ``valid_from`` inclusive, ``valid_to`` exclusive, null open."""
+    begun = F.col("valid_from").isNull() | (F.col("valid_from") <= as_of_ms)
+    return corrections.filter(begun & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of_ms)))
+
+
+def route_sources(sources: DataFrame, lineage: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Sources under the events that stand now, through merges and splits in any order.
+
+    ``lineage``: ``old_id, new_id, part``. A merge is one row without a part. A split has a row per successor: a source goes to
+    the one whose part equals its own ``part`` column, else to the one without a part, else it stays. Each round takes
+    every source one step, so rounds are as many as the longest chain; a chain beyond ``max_rounds`` is a cycle and an error. The
+    lineage has one row per (old_id, part), so a source never multiplies and a hot event is split on the side of its sources.
+    """
+    named = durable(lineage.filter("part IS NOT NULL").select(F.col("old_id").alias("id"), "part", F.col("new_id").alias("__named")))
+    rest = durable(lineage.filter("part IS NULL").select(F.col("old_id").alias("id"), F.col("new_id").alias("__rest")))
+    current = sources
+    for _ in range(max_rounds + 1):
+        step = current.join(named, ["id", "part"], "left").join(rest, "id", "left")
+        onward = F.coalesce("__named", "__rest")
+        moved = durable(step.withColumns({"__moved": onward.isNotNull(), "id": F.coalesce(onward, F.col("id"))}).drop("__named", "__rest"))
+        current = moved.drop("__moved").select(*sources.columns)
+        if moved.filter("__moved").isEmpty():
+            return current
+    raise ValueError("corrections form a cycle")
+
+
+def touched_by(lineage: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Every event that a correction changes: old ones, their successors on every level, and retracted ones; for ``stale_edges``."""
+    ids = lineage.select(F.col("old_id").alias("id")).union(lineage.select("new_id"))
+    return ids.union(tombstones.select("id")).distinct()
+
+
 def apply_corrections(events: DataFrame, sources: DataFrame, tombstones: DataFrame, lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events and their sources after retractions and merges.
 

@@ -29,9 +29,11 @@ def advance_trails(fixes: DataFrame, root: str, batch_id: int, policy: TrailPoli
     trails.write.mode("overwrite").parquet(trails_path(root, batch_id))
 
 
-def stream_trails(cycle_fixes: DataFrame, root: str, policy: TrailPolicy | None = None) -> DataStreamWriter:
+def stream_trails(cycle_fixes: DataFrame, root: str, policy: TrailPolicy | None = None, contact: str | None = None) -> DataStreamWriter:
     """A writer that keeps the trail table below ``root`` (a shared folder) up to date. Feed it one fix per object and cycle,
-    in batches cut at cycle boundaries."""
+    in batches cut at cycle boundaries. ``contact`` names a time column whose watermark drops late fixes."""
+    if contact is not None:
+        cycle_fixes = within_clock(cycle_fixes, contact)
     return cycle_fixes.writeStream.foreachBatch(lambda batch, number: advance_trails(batch, root, number, policy))
 
 
