@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import decontam, pii_lstm, secret_forest, spotsigs
+from tidewatch.llm import decontam, langid, pii_lstm, secret_forest, spotsigs
 from tidewatch.llm.common import free_names
 
 SF = "/root/testdata/sf0.001"
@@ -165,3 +165,15 @@ def test_uncontaminated_keeps_columns_of_any_name(spark, odd):
     bench = spark.createDataFrame([(1, passage[:200], "x")], "item_id long, text string, doc string")
     left = decontam.uncontaminated(odd, bench)
     assert left.columns == odd.columns and left.count() == odd.count() - odd.filter(F.col("text").startswith("word0")).count()
+
+
+def test_languages_are_drawn_in_two_passes_from_anywhere_in_a_text(spark):
+    words = {"aa": "alpha bravo charlie", "bb": "zulu yankee xray", "cc": "un deux trois"}
+    rows = [(i, ("12 34 " * 500 if i % 2 else "") + " ".join(words[lang].split()[(i + k) % 3] for k in range(400)), lang)
+            for i, lang in enumerate(list(words) * 60)] + [(9000 + i, "rare words", f"x{i}") for i in range(3)] + [(9100, None, "aa"), (9101, "", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, langid.LangId(sample=50, languages=3))
+    assert model.languages == ["aa", "bb", "cc"]
+    got = langid.predictions(docs.filter("doc_id < 9000"), model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang_pred = lang").count() > 0.9 * got.count()
+    assert langid.train(docs.limit(0)).languages == []

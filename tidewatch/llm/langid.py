@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import pieces, table_batch
+from tidewatch.operators.numbering import top_per
 
 #: Lower-case ASCII letters and bytes beyond ASCII stay; all else is a blank.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -27,9 +28,11 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 class LangId:
     buckets: int = 1 << 16
     width: int = 8
-    #: Labelled rows per language, and bytes of each, that training reads; predictions read whole texts.
+    #: Labelled rows per language, the excerpt of each (from anywhere in its text), and the most languages that training takes, the
+    #: most frequent ones; predictions read whole texts.
     sample: int = 500
     bytes_read: int = 2000
+    languages: int = 1000
     epochs: int = 8
     rate: float = 2.0
     #: Share of accepted predictions that should be right.
@@ -138,18 +141,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, p: LangId = LangId()) -> Model:
-    """Fit on at most ``p.sample`` rows per language, lowest by a hash of id and text, held-out rows excluded."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("lang", F.substring("text", 1, p.bytes_read).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    languages = [r.lang for r in known.select("lang").distinct().limit(1000).collect()]
-    texts, names = [], []
-    for language in sorted(languages):
-        # Hashes first: the rows taken are then a range that each task can cut by itself.
-        cut = known.filter(F.col("lang") == language).select("h").orderBy("h").limit(p.sample).agg(F.max("h")).first()[0]
-        for row in known.filter((F.col("lang") == language) & (F.col("h") <= cut)).select("text").limit(p.sample).toLocalIterator():
-            texts.append((row.text or "").encode())
-            names.append(language)
-    order = np.random.default_rng(p.seed).permutation(len(texts))
-    return fit([texts[i] for i in order], [names[i] for i in order], p)
+    """Fit on at most ``p.sample`` rows of each of the ``p.languages`` most frequent languages, held-out rows excluded.
+
+    Of each row an excerpt is read that begins anywhere in its text. Two passes, whatever the number of languages: one counts, one
+    draws by a hash of id and text.
+    """
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.languages).collect()
+    if not counted:
+        return fit([], [], p)
+    # Three times as many rows as wanted pass, so that a share drawn by hash holds enough.
+    shares = [(r.lang, min(1 << 20, -(-3 * p.sample * (1 << 20) // r.n))) for r in counted]
+    table = docs.sparkSession.createDataFrame(shares, "lang string, share long")  # p.languages rows at most
+    place = F.expr(f"CAST(pmod(h, greatest(length(coalesce(text, '')) - {p.bytes_read}, 0) + 1) AS int) + 1")
+    drawn = known.join(F.broadcast(table), "lang").filter("pmod(shiftrightunsigned(h, 24), 1048576) < share")
+    excerpts = drawn.select("lang", "h", F.substr("text", place, F.lit(p.bytes_read)).alias("text"))
+    rows = sorted((r.lang, r.h, r.text or "") for r in top_per(excerpts, ["lang"], p.sample, F.col("h"), F.col("text")).toLocalIterator())
+    order = np.random.default_rng(p.seed).permutation(len(rows))
+    return fit([rows[i][2].encode() for i in order], [rows[i][0] for i in order], p)
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
