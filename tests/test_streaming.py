@@ -2,13 +2,16 @@
 
 import json
 import os
+import random
 
 from tests.helpers import article
 
 from tidewatch.plans.cycle import Policy, current_manifest
 from tidewatch.plans.warehouse import Warehouse
+from tidewatch.operators.tracks import update_trails
 from tidewatch.operators.views import latest_snapshot
 from tidewatch.streaming.ingest import drop_repeats, newest_snapshots, read_landing, read_newest, run_stream, stream_newest
+from tidewatch.streaming.trails import advance_trails, trails_path
 
 
 def test_stream_folds_each_landed_file_once(spark, folder):
@@ -71,3 +74,21 @@ def test_repeated_articles_are_dropped_before_the_cycle(spark, folder):
     finally:
         query.stop()
     assert sorted(r.title for r in spark.read.parquet(f"{folder}/out").collect()) == ["No date at all", "Ransomware crew leaves a brewery", "Ransomware stops a brewery"]
+
+
+def test_many_cycles_of_a_batch_equal_cycles_one_by_one(spark, folder):
+    draw, schema = random.Random(5), "id string, clock bigint, lon double, lat double"
+    cycles = [[(f"a{i}", m * 60_000, draw.choice([1.0, 1.2]), 2.0) for i in range(4) if draw.random() < 0.8] for m in range(14)]
+    cycles = [c for c in cycles if c]
+    for number, part in enumerate((cycles[:9], cycles[9:])):
+        advance_trails(spark.createDataFrame([r for c in part for r in c], schema), f"{folder}/many", number)
+    one = None
+    for rows in cycles:
+        seen = spark.createDataFrame(rows, schema)
+        one = update_trails(seen, spark.createDataFrame([], "id string, trail array<struct<lon:double,lat:double,ts:bigint>>") if one is None else one).select("id", "trail")
+        one = spark.createDataFrame(one.collect(), one.schema)
+    many = spark.read.parquet(trails_path(f"{folder}/many", 1)).select("id", "trail")
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+    advance_trails(spark.createDataFrame([], schema), f"{folder}/many", 2)
+    assert spark.read.parquet(trails_path(f"{folder}/many", 2)).count() == many.count()
+    assert not os.path.exists(trails_path(f"{folder}/many", 0)) and os.path.exists(trails_path(f"{folder}/many", 1))

@@ -15,6 +15,7 @@ from tidewatch.plans.cycle import BootstrapRequired, commit, current_state, live
 from tidewatch.plans.state import Base, FoldState, seed
 from tidewatch.plans.warehouse import Warehouse, table_digest
 from tidewatch.schemas import DOCUMENT
+from tidewatch.session import drop_folder
 
 INLINE_SOURCES = 10_000
 POINTER = "sequence bigint, turn bigint, path string"
@@ -183,7 +184,7 @@ def vacuum(spark: SparkSession, root: str, mirrors: str | None = None, keep: int
         for sequence in _children(spark, mirrors, "sequence="):
             for copy in _children(spark, f"{mirrors}/{sequence}", "copy="):
                 if f"{sequence}/{copy}" not in kept:
-                    gone += _remove(spark, f"{mirrors}/{sequence}/{copy}")
+                    gone += drop_folder(spark, f"{mirrors}/{sequence}/{copy}")
     return {"oldest": oldest, "generation": generation, "deleted": gone}
 
 
@@ -194,13 +195,8 @@ def _children(spark: SparkSession, folder: str, prefix: str) -> list[str]:
     return sorted(n for n in names if n.startswith(prefix))
 
 
-def _remove(spark: SparkSession, folder: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return int(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-
-
 def _delete(spark: SparkSession, folder: str, prefix: str, old) -> int:
-    return sum(_remove(spark, f"{folder}/{name}") for name in _children(spark, folder, prefix) if old(int(name.removeprefix(prefix))))
+    return sum(drop_folder(spark, f"{folder}/{name}") for name in _children(spark, folder, prefix) if old(int(name.removeprefix(prefix))))
 
 
 def import_state(spark: SparkSession, root: str, events: DataFrame, sources: DataFrame, identity: str, as_of_ms: int,

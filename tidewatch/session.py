@@ -64,6 +64,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 def drop_durable(written: DataFrame) -> None:
     """Delete the table behind a result of ``durable`` that nothing will read again, such as a superseded round."""
-    spark = written.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(written.durable_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(written.sparkSession, written.durable_path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder of any file system; false if there was none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
