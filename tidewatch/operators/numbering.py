@@ -7,6 +7,7 @@ the earlier ranges. A hot key is spread over all ranges it occurs in.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -41,8 +42,11 @@ class OrderSpan:
         found = df.select(F.col(column).cast("double").alias("x")).approxQuantile("x", shares, 1 / (4 * ranges))
         if not found:
             return cls(column, 0, 0, ranges)
-        low, high = df.agg(F.min(column), F.max(column)).first()
-        return cls(column, low, high, ranges, tuple(sorted({int(x) for x in found[1:-1]})))
+        low, high, cuts = int(found[0]), int(found[-1]), sorted({int(x) for x in found[1:-1]})
+        # Evenly spread values need no search: equal widths hold nearly equal shares of them.
+        width = max(1, -(-(high - low + 1) // ranges))
+        fullest = max(Counter((x - low) // width for x in cuts).values(), default=0)
+        return cls(column, low, high, ranges, () if fullest <= 2 else tuple(cuts))
 
     def bucket(self) -> Column:
         if not self.cuts:
