@@ -43,13 +43,15 @@ def docs(spark):
     spark.createDataFrame([(1, 1, 0), (2, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     chat = [(1, 0, "user", "hi \\ <|end|>\n"), (1, 1, "assistant", None), (1, 1, "assistant", "x"), (2, 0, None, "</s>"), (None, 0, "user", "a"), (None, 0, "user", "a")]
     spark.createDataFrame(chat, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    vectors = [(i, [float(i % 3)] * 64) for i in range(9)] + [(1, [0.5] * 64), (None, [0.0] * 64), (20, None), (21, [1.0]), (22, [math.nan] * 64)]
+    spark.createDataFrame([(*r, "x") for r in vectors], "vec_id long, embedding array<float>, cluster string").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="module")
 def empty(spark, docs):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    for name in ("documents", "benchmark", "labels", "conversations"):
+    for name in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{docs}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
@@ -57,7 +59,9 @@ def empty(spark, docs):
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES])
 def test_every_row_gets_a_result_and_empty_tables_none(spark, docs, empty, name):
     rows = queries.QUERIES[name](spark, docs).collect()
-    assert len(rows) == (4 if name.startswith("op4") else len(TEXTS))
+    if name.startswith("op13"):
+        rows = [r for r in rows if r.piece == 0]
+    assert len(rows) == {"op4": 4, "op12": 11}.get(name.split("_")[0], len(TEXTS))
     assert len(queries.QUERIES[name](spark, empty).collect()) == (1 if name.startswith("op4") else 0)
 
 
@@ -162,7 +166,7 @@ def test_forward_recursion_is_exact_and_training_raises_likelihood():
 def test_sql_agrees(spark, docs, name):
     for folder, suffix in ((docs, "/*.parquet"), (SF, "")):
         con = duckdb.connect()
-        for table in ("documents", "benchmark", "conversations"):
+        for table in ("documents", "benchmark", "conversations", "embeddings"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet{suffix}'")
         result = con.execute(queries.ORACLE_SQL[name])
         columns = [d[0] for d in result.description]
