@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -83,6 +84,15 @@ def test_every_near_pair_agrees_in_some_table():
             assert any(flipped & m == 0 for m in masks)
 
 
+def test_a_long_text_is_cut_into_words_once(spark):
+    draw = random.Random(5)
+    told = " ".join(f"w{draw.randrange(5000)}" for _ in range(20_000))
+    started = time.monotonic()
+    rows = N.fingerprints(spark.createDataFrame([(1, told)], "id long, body string"), "id", "body").collect()
+    assert [(r.id, r.fingerprint % 2**64) for r in rows] == [(1, fingerprint_by_hand(told))]
+    assert time.monotonic() - started < 30  # cut again for every run, it took minutes
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in (*range(31), 50, 51, 99)], "node long")

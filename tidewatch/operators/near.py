@@ -14,14 +14,19 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.staging import materialize
 from tidewatch.session import durable
 
 WIDTH, HALF = 64, 32
 
 
-def shingles(text: Column, words: int = 3) -> Column:
-    """Runs of ``words`` words, lower-cased; fewer words are one run, none none."""
-    w = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def word_list(text: Column) -> Column:
+    """Words of a text, lower-cased."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def shingles(w: Column, words: int = 3) -> Column:
+    """Runs of ``words`` words of a computed list, else it would be made again for every run; fewer words are one run, none none."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1)))
     runs = F.transform(starts, lambda i: F.array_join(F.slice(w, i, words), " "))
     return F.filter(runs, lambda x: x != "")
@@ -29,8 +34,9 @@ def shingles(text: Column, words: int = 3) -> Column:
 
 def fingerprints(df: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
     """(key, fingerprint) of every text that has words; sums combine map-side, so a long text costs one row."""
-    runs = df.select(key, F.explode(shingles(F.col(text), words)).alias("run")).select(key, F.md5("run").alias("h"))
-    halves = runs.select(key, *(F.conv(F.substring("h", a, 8), 16, 10).cast("long").alias(n) for n, a in (("high", 1), ("low", 9))))
+    told = materialize(df.select(key, text), {"__words": word_list(F.col(text))}).select(key, "__words")
+    runs = told.select(key, F.explode(shingles(F.col("__words"), words)).alias("run"))
+    halves = materialize(runs, {"h": F.md5("run")}).select(key, *(F.conv(F.substring("h", a, 8), 16, 10).cast("long").alias(n) for n, a in (("high", 1), ("low", 9))))
     vote = lambda half, i: F.sum(F.when(F.col(half).bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(-1)).alias(f"{half}{i}")
     votes = halves.groupBy(key).agg(*(vote(half, i) for half in ("high", "low") for i in range(HALF)))
 
