@@ -255,6 +255,19 @@ def test_toxicity_scores_keep_the_share_of_the_labels_when_the_sample_is_capped(
         assert net.score([t.encode() for t in said]).mean() == pytest.approx(0.1, abs=0.05)
 
 
+def test_toxicity_learns_from_the_ends_of_long_texts(spark):
+    draw = np.random.default_rng(4)
+    plain = lambda n: " ".join(f"plain{k}" for k in draw.integers(0, 200, n))
+    # Toxic texts say it behind 65 536 bytes, clean ones have a word of their own behind 16 384.
+    said = [f"{plain(9000)} vilest" if i % 2 else f"{plain(2500)} kindly" for i in range(80)]
+    assert min(map(len, said[1::2])) > 1 << 16 and min(map(len, said[::2])) > 1 << 14
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    net = toxicity.train(frame(spark, list(enumerate(said))), labels)
+    kind, vile = (net.odds[toxicity.word_features(toxicity.Steps([w]), np.array([0]), net.p)[0, 0]] for w in (b"kindly", b"vilest"))
+    assert vile > 1 > -1 > kind
+    assert net.score([b"plain1 vilest plain2"])[0] > net.score([b"plain1 kindly plain2"])[0]
+
+
 def test_toxicity_reads_all_of_a_word_and_parts_words_beyond_ascii():
     draw = np.random.default_rng(3)
     letters = lambda n: "".join(draw.choice(list("abcdeghklmnoprstu"), n))

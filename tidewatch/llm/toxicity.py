@@ -18,7 +18,9 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Words, mix, pieces, table_batch
+from tidewatch.session import durable
 
 #: ASCII bytes that are no letters and no digits part words; bytes beyond ASCII belong to them but for ``_PARTS``.
 _GAPS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -53,7 +56,7 @@ class Toxicity:
     hidden: int = 8
     embedding: int = 6
     buckets: int = 1 << 15
-    #: Labelled rows per label used to fit the network, and bytes of a text used for fitting; scores read whole texts.
+    #: Labelled rows per label used to fit the network; fitting and scores read whole texts.
     sample: int = 1500
     epochs: int = 8
     windows_per_text: int = 8
@@ -245,39 +248,55 @@ def windows(bounds: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([start, np.minimum(start + p.window, end[owner])], axis=1), owner
 
 
-def _read(texts: list[bytes], p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of the texts' words, features of the distinct words, and each word's row among those; read piece by piece."""
-    hashes, known, features, bounds = [], [], [], [0]
-    at = 0
-    while at < len(texts):
-        stop, held = at, 0
-        while stop < len(texts) and (stop == at or held + len(texts[stop]) < 1_000_000):
-            held += len(texts[stop])
-            stop += 1
-        found = Steps(texts[at:stop])
-        distinct, first = np.unique(found.hash, return_index=True)
-        hashes.append(found.hash)
-        known.append(distinct)
-        features.append(word_features(found, first, p).astype(np.int32))
-        bounds += (bounds[-1] + found.bounds[1:]).tolist()
-        at = stop
-    distinct, first = np.unique(np.concatenate(known), return_index=True)
-    return np.array(bounds), np.concatenate(features)[first], np.searchsorted(distinct, np.concatenate(hashes))
-
-
-def fit(texts: list[bytes], labels: np.ndarray, p: Toxicity, weights: tuple[float, float] = (1.0, 1.0)) -> Network:
-    """Train from labelled texts; every fifth is kept aside for calibration. ``weights``: labelled rows that a clean and a toxic text stand for."""
+def _some(texts: Iterable[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
+    """Runs of texts that hold about ``most`` bytes; a longer text comes alone."""
+    run, held = [], 0
+    for text in texts:
+        if run and held + len(text) >= most:
+            yield run
+            run, held = [], 0
+        run.append(text)
+        held += len(text)
+    if run:
+        yield run
+
+
+def _read(texts: Iterable[bytes], p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the texts' words, features of the distinct words, and each word's row among those. Texts are read whole, run by run, and not kept."""
+    rows, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    known, row, features, many = np.zeros(0, np.uint64), np.zeros(0, np.int32), [np.zeros((0, 13), np.int32)], 0
+    for run in _some(texts):
+        found = Steps(run)
+        distinct, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(known, distinct)
+        new = np.append(known, 0)[at] != distinct if len(known) else np.ones(len(distinct), bool)
+        new |= at == len(known)
+        features.append(word_features(found, first[new], p).astype(np.int32))
+        row = np.insert(row, at[new], np.arange(many, many + new.sum(), dtype=np.int32))
+        known = np.insert(known, at[new], distinct[new])
+        many += int(new.sum())
+        rows.append(row[np.searchsorted(known, distinct)][inverse])
+        bounds.append(bounds[-1][-1] + found.bounds[1:])
+    return np.concatenate(bounds), np.concatenate(features), np.concatenate(rows)
+
+
+def fit(texts: Iterable[bytes], labels: Sequence[int], p: Toxicity, weights: tuple[float, float] = (1.0, 1.0)) -> Network:
+    """Train from labelled texts; every fifth is kept aside for calibration. ``weights``: labelled rows that a clean and a toxic text stand for.
+
+    ``labels`` may be a list that fills while ``texts`` are drawn.
+    """
     net = Network(p)
+    bounds, features, inverse = _read(texts, p)
+    labels = np.asarray(labels)
     if len(set(labels.tolist())) < 2:
         net.flat = float(labels.mean()) if len(labels) else 0.0
         return net
     labels = labels.astype(np.float32)
     draw = np.random.default_rng(p.seed)
-    aside = np.arange(len(texts)) % 5 == 4
-    bounds, features, inverse = _read(texts, p)
+    aside = np.arange(len(labels)) % 5 == 4
     spans, owner = windows(bounds, p)
     # Log-odds: in how many toxic and in how many other texts a feature occurs.
-    text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    text_of = np.repeat(np.arange(len(labels)), np.diff(bounds))
     use = ~aside[text_of]
     many_words = max(1, len(features))
     key = np.unique(text_of[use] * many_words + inverse[use])
@@ -368,14 +387,16 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Netwo
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
         picked = part if picked is None else picked.union(part)
     # At most 2 * sample rows of two numbers: broadcast is bounded.
-    rows = docs.select("doc_id", F.substring("text", 1, 1 << 16).alias("text")).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(2 * p.sample)
-    texts, marks, held = [], [], 0
-    for row in rows.toLocalIterator():
-        text = (row.text or "").encode()
-        texts.append(text[: 1 << 14] if row.toxic == 0 else text[: 1 << 16])
-        marks.append(row.toxic)
-        held += len(texts[-1])
-    return fit(texts, np.array(marks), p, weights)
+    few = durable(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("at")))
+    marks: list[int] = []
+
+    def told() -> Iterator[bytes]:
+        # Sorted by ranges, of which the driver holds one at a time; repeated ids may give more rows than were picked.
+        for row in islice(few.orderBy("at").toLocalIterator(), 2 * p.sample):
+            marks.append(row.toxic)
+            yield (row.text or "").encode()
+
+    return fit(told(), marks, p, weights)
 
 
 def score_column(docs: DataFrame, model: Network, name: str = "score") -> DataFrame:
