@@ -181,3 +181,19 @@ def test_only_the_newest_candidates_of_a_report_are_ranked(spark):
     )
     assert [r["other_id"] for r in relate.rank_relations(pairs, top=5, candidates=4).orderBy("rank").collect()] == [1, 4, 3, 2]
     assert [r["other_id"] for r in relate.rank_relations(pairs, top=5, candidates=2).orderBy("rank").collect()] == [4, 3]
+
+
+def test_pairs_are_ranked_in_the_task_that_makes_them(spark):
+    day, limit = 86_400_000, 7
+    rows = [(i, kind, f"v{i % n}", i * day, i, f"t{i % 2}", f"r{i % 3}") for i in range(300) if i % 11 for kind, n in (("cve", 23), ("ip", 2), ("organization", 150))]
+    df = spark.createDataFrame(rows, "id long, kind string, value string, ts long, ord long, t string, region string").repartition(5)
+    pairs = relate.candidate_pairs(df, OrderSpan("ord", 0, 299, ranges=16), limit=limit, carried=("t", "region"), rows=60)
+    want, days = set(), {"cve": 365, "ip": 30, "organization": 30}
+    for kind, value in {(r[1], r[2]) for r in rows}:
+        ids = [r[0] for r in rows if r[1:3] == (kind, value)]
+        want |= {(a, b, kind, value) for i, a in enumerate(ids) for b in ids[max(0, i - limit) : i] if a - b <= days[kind]}
+    got = [(r["id"], r["other_id"], r["kind"], r["value"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert pairs.select("part").distinct().count() > 4
+    exchanges = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(relate.rank_relations(pairs)) == exchanges(pairs.select("*"))
