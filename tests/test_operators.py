@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 from tests.helpers import AS_OF, article, batch
 
-from tidewatch.operators import checks, corroborate, relate, spatial, tracks
+from tidewatch.operators import checks, contract_paths, corroborate, relate, spatial, tracks
 from tidewatch.operators.normalize import accepted, normalize
 from tidewatch.operators.numbering import OrderSpan, number, number_within
 from tidewatch.streaming.trails import advance_trails, stream_trails, trails_path
@@ -197,3 +197,17 @@ def test_pairs_are_ranked_in_the_task_that_makes_them(spark):
     assert pairs.select("part").distinct().count() > 4
     exchanges = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert exchanges(relate.rank_relations(pairs)) == exchanges(pairs.select("*"))
+
+
+def test_a_contract_is_checked_in_one_pass_over_the_documents(spark, folder):
+    contract = {"a": (2, {"b": "string?", "c": (1, "integer")}), "d": {"e": "boolean"}, "f": "any"}
+    told = ['{"a": [{"b": null, "c": [1]}, {"b": "x"}], "d": {"e": true}, "f": [[{"z": 1}]]}', '{"a": [{"b": 1}, {"b": 2, "y": {"z": 1}}, {}], "d": []}',
+            '{"a": {"c": 1}, "d": {"e": 1.5, "g": null}}', '{"a": [{"c": [1, 2, "x"]}], "f": null}', '[{"a": 1}]', '{', '{"a": 1, "a": 2}', None, 'null']
+    spark.createDataFrame(list(enumerate(told)), "id int, body string").write.parquet(f"{folder}/docs")
+    found = contract_paths.contract_violations(spark.read.parquet(f"{folder}/docs"), "id", "body", contract)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(map(tuple, found.collect())) == [
+        (1, ".a", "array_bound"), (1, ".a[].b", "wrong_type"), (1, ".a[].y", "unknown_field"), (1, ".d", "wrong_type"),
+        (2, ".a", "wrong_type"), (2, ".a.c", "unknown_field"), (2, ".d.e", "wrong_type"), (2, ".d.g", "unknown_field"),
+        (3, ".a[].c", "array_bound"), (3, ".a[].c[]", "wrong_type"), (4, "", "wrong_type"), (4, "[]", "unknown_field"),
+        (5, "", "not_json"), (6, "", "not_json"), (7, "", "not_json"), (8, "", "wrong_type")]

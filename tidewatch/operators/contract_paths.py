@@ -1,7 +1,7 @@
 """Contract checks of whole JSON documents: unknown fields at any depth, array bounds and types.
 
 A document is parsed to a variant and unfolded level by level into one row per place, named by its path
-(``.entities[].mentions[].role``). The rows meet the contract's paths in one equi-join: a path that the contract
+(``.entities[].mentions[].role``). Every place is looked up among the contract's paths: a path that the contract
 lacks is an unknown field, an array with more items than its path allows is out of bounds, a value of another kind is of
 the wrong type. Only declared objects and arrays are unfolded further, so the levels are bounded by the contract.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.staging import materialize
+
 # The fields of a detail artifact and of the index, by their kind. ``?`` allows null; a number bounds an array.
 _TARGET = {"eventUid": "string", "eventRevisionUid": "string", "eventId": "integer?", "title": "string", "publishedAt": "integer?",
            "locationLabel": "string?", "sourceUrls": (5, "string")}
@@ -33,6 +35,8 @@ INDEX = {"schemaVersion": "any", "releaseUid": "string", "generatedAt": "integer
 #: Kinds of a parsed value, by the beginning of its type's name.
 _KINDS = (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BIGINT", "integer"), ("BOOLEAN", "boolean"), ("VOID", "null"))
 
+_RULE = (("wanted", "string"), ("nullable", "boolean"), ("most", "int"))
+
 
 def contract_rows(contract: dict | tuple | str, path: str = "") -> list[tuple[str, str, bool, int | None]]:
     """(path, kind, nullable, most items) of every place a contract declares."""
@@ -43,38 +47,36 @@ def contract_rows(contract: dict | tuple | str, path: str = "") -> list[tuple[st
     return [(path, "object", False, None), *(row for name, x in contract.items() for row in contract_rows(x, f"{path}.{name}"))]
 
 
-def json_places(documents: DataFrame, key: str, payload: str, declared: list[tuple[str, str, bool, int | None]]) -> DataFrame:
-    """(key, path, kind, items) of every place of the documents, down to the first undeclared one.
+def contract_violations(documents: DataFrame, key: str, payload: str, contract: dict) -> DataFrame:
+    """(key, path, rule) of every broken rule, once per document: not_json, unknown_field, array_bound, wrong_type.
 
-    ``kind`` of a payload that is no JSON is ``broken``; ``items`` counts an array's.
+    One chain of narrow steps: a document is parsed once, and each step judges and unfolds the places that the last one found. A place that
+    keeps to the contract ends there; only its fields or items and broken rules go on.
     """
-    spark = documents.sparkSession
-    containers = [path for path, kind, _, _ in declared if kind in ("object", "array")]
-    kind = F.lit("number")
-    for start, name in _KINDS:
-        kind = F.when(F.schema_of_variant("v").startswith(start), name).otherwise(kind)
-    kind = F.when(F.col("v").isNull(), "broken").otherwise(kind)
-    described = lambda rows: rows.withColumn("kind", kind).withColumn(
-        "items", F.when(F.col("kind") == "array", F.size(F.try_variant_get("v", "$", "array<variant>"))))
-    level = described(documents.select(F.col(key).alias("doc"), F.lit("").alias("path"), F.try_parse_json(payload).alias("v")))
-    found = level
-    for _ in range(max(path.count(".") + path.count("[]") for path, *_ in declared)):
-        inner = level.filter(F.col("path").isin(containers) & F.col("kind").isin("object", "array")).select("doc", "path", "v")
-        unfolded = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        below = F.concat("path", F.when(F.col("key").isNull(), "[]").otherwise(F.concat(F.lit("."), F.col("key"))))
-        level = described(unfolded.select("doc", below.alias("path"), F.col("value").alias("v")))
-        found = found.unionByName(level)
-    return found.select(F.col("doc").alias(key), "path", "kind", "items")
-
-
-def contract_violations(documents: DataFrame, key: str, payload: str, contract: dict) -> DataFrame:
-    """(key, path, rule) of every broken rule, once per document: not_json, unknown_field, array_bound, wrong_type."""
     declared = contract_rows(contract)
-    table = documents.sparkSession.createDataFrame(declared, "path string, wanted string, nullable boolean, most int")
-    places = json_places(documents, key, payload, declared).join(F.broadcast(table), "path", "left")  # as many rows as the contract has places
-    fits = (F.col("kind") == F.col("wanted")) | (F.col("wanted") == "any") | (F.col("nullable") & (F.col("kind") == "null"))
-    rule = (
-        F.when(F.col("kind") == "broken", "not_json").when(F.col("wanted").isNull(), "unknown_field")
-        .when(~fits, "wrong_type").when(F.col("items") > F.col("most"), "array_bound")
-    )
-    return places.select(key, "path", rule.alias("rule")).filter("rule IS NOT NULL").distinct()
+    # As many entries as the contract has places.
+    rules = F.create_map(*(x for path, *rule in declared for x in (F.lit(path), F.struct(*(F.lit(r).cast(t).alias(n) for r, (n, t) in zip(rule, _RULE))))))
+    found = documents.select(F.col(key).alias("doc"), F.lit("").alias("path"), F.try_parse_json(payload).alias("v"), F.lit(None).cast("string").alias("rule"))
+    for _ in range(max(path.count(".") + path.count("[]") for path, *_ in declared) + 1):
+        now = F.col("rule").isNull()
+        read = lambda shape: F.when(now, F.try_variant_get("v", "$", shape))  # noqa: E731, B023
+        opened = materialize(found, {"fields": F.map_entries(read("map<string,variant>")), "list": read("array<variant>"), "c": F.when(now, F.try_element_at(rules, F.col("path")))})
+        plain = now & F.col("fields").isNull() & F.col("list").isNull()
+        told = materialize(opened, {"told": F.when(plain, F.schema_of_variant("v"))})
+        kind = F.when(F.col("fields").isNotNull(), "object").when(F.col("list").isNotNull(), "array").when(F.col("v").isNull(), "broken")
+        for start, name in _KINDS:
+            kind = kind.when(F.col("told").startswith(start), name)
+        judged = materialize(told, {"kind": F.when(now, kind.otherwise("number"))})
+        fits = (F.col("kind") == F.col("c.wanted")) | (F.col("c.wanted") == "any") | (F.col("c.nullable") & (F.col("kind") == "null"))
+        rule = (
+            F.when(~now, F.col("rule")).when(F.col("kind") == "broken", "not_json").when(F.col("c").isNull(), "unknown_field")
+            .when(~fits, "wrong_type").when(F.size("list") > F.col("c.most"), "array_bound")
+        )
+        place = lambda path, v, rule: F.struct(path.alias("path"), v.alias("v"), rule.alias("rule"))
+        none = F.lit(None).cast("string")
+        below = F.when(F.col("c.wanted").isin("object", "array"), F.coalesce(
+            F.transform("fields", lambda x: place(F.concat("path", F.lit("."), x["key"]), x["value"], none)),  # noqa: B023
+            F.transform("list", lambda x: place(F.concat("path", F.lit("[]")), x, none))))  # noqa: B023
+        itself = F.filter(F.array(place(F.col("path"), F.lit(None).cast("variant"), rule)), lambda x: x["rule"].isNotNull())
+        found = judged.select("doc", F.inline(F.when(below.isNull(), itself).otherwise(F.concat(itself, below))))
+    return found.filter("rule IS NOT NULL").select(F.col("doc").alias(key), "path", "rule").distinct()
