@@ -146,6 +146,16 @@ def test_language_model_base_and_normalization(spark, docs):
     assert all(r.score < 0 for r in got)
 
 
+def test_first_guess_of_the_language_model_reads_texts_to_their_ends(spark):
+    head, tail = [f"w{i % 37}" for i in range(4500)], [f"w{i % 11}" for i in range(3000)]
+    p, moves = hmm_lm.Hmm(rounds=0, own=64, endings=8), []
+    for end in (tail, sorted(tail)):  # the same words, in another order behind the first 4 096
+        docs = frame(spark, [(i, " ".join(head + end)) for i in range(3)])
+        lex = hmm_lm.lexicon(hmm_lm.word_counts(docs), docs.count(), p)
+        moves.append(hmm_lm.train(hmm_lm.encoded(docs, lex, p), lex, p).move)
+    assert np.abs(moves[0] - moves[1]).max() > 0.01
+
+
 def test_forward_recursion_is_exact_and_training_raises_likelihood():
     p = hmm_lm.Hmm(states=3, own=4, endings=2)
     draw = np.random.default_rng(0)

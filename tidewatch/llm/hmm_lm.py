@@ -3,7 +3,7 @@
 The ``own`` most frequent training words are classes of their own, other words share a class with words of the same
 ending, and the end of a text is a class. Baum-Welch trains transitions and emissions: every task runs the scaled
 forward and backward recursions over its texts and hands on expected counts, which are summed by (state, class)
-across partitions; passes cover all training texts. A first guess comes from a bounded sample. The exact
+across partitions; passes cover all training texts. So does the first guess: classes with like neighbours begin in one state. The exact
 log-likelihood of a text is that of its class sequence, by the scaled forward recursion, plus that of each word
 within its class, which needs the word's count in the whole corpus. Counts of the ``hot`` most frequent words go
 to every task (bounded by the parameter); the others meet their texts in a join on the word.
@@ -32,9 +32,8 @@ class Hmm:
     own: int = 8192
     endings: int = 1024
     hot: int = 65_536
-    #: Texts of the first guess and Baum-Welch rounds on them; then rounds over all training texts.
-    sample: int = 800
-    sample_rounds: int = 12
+    #: Kinds of neighbours that the first guess tells apart, and Baum-Welch rounds; both read all training texts.
+    contexts: int = 16
     rounds: int = 2
     seed: int = 29
 
@@ -266,6 +265,60 @@ def baum_welch(rows: DataFrame, model: Model, unigram: np.ndarray, p: Hmm) -> Mo
     return Model.of(sums[:, 0], sums[:, 1 : 1 + p.states], sums[:, 1 + p.states :], unigram)
 
 
+def neighbours(rows: DataFrame, kind: np.ndarray, p: Hmm) -> np.ndarray:
+    """How often each class stands before (first half) and behind a neighbour of each kind, over all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(kind)
+    out = pa.schema([("row", pa.int32()), ("col", pa.int32()), ("n", pa.int64())])
+    width = 2 * p.contexts
+
+    def run(batches):
+        sums = np.zeros(p.classes * width, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                x = np.concatenate(_sequences(batch.slice(at, 1000), "classes"))
+                first, second = x[:-1], x[1:]
+                inside = first != p.classes - 1  # only a text's last token is its end
+                first, second = first[inside], second[inside]
+                sums += np.bincount(np.concatenate([first * width + shared.value[second], second * width + p.contexts + shared.value[first]]), minlength=len(sums))
+        cells = np.flatnonzero(sums)
+        yield table_batch(out, [pa.array((cells // width).astype(np.int32)), pa.array((cells % width).astype(np.int32)), pa.array(sums[cells])])
+
+    counts = rows.select("classes").mapInArrow(run, "row int, col int, n long").groupBy("row", "col").agg(F.sum("n").alias("n"))
+    # As many cells as the parameters allow.
+    sums = np.zeros((p.classes, width))
+    for r in counts.toLocalIterator():
+        sums[r.row, r.col] = r.n
+    return sums
+
+
+def first_guess(rows: DataFrame, unigram: np.ndarray, tokens: int, p: Hmm) -> Model:
+    """States as groups of classes whose neighbours are alike, weighted by the classes' shares."""
+    kind = np.arange(p.classes)
+    hashed = kind >= p.contexts // 2
+    kind[hashed] = p.contexts // 2 + (mix(kind[hashed].astype(np.uint64)) % np.uint64(p.contexts // 2 - 1)).astype(np.int64)
+    kind[-1] = p.contexts - 1
+    met = neighbours(rows, kind, p)
+    behind, ahead = met[:, : p.contexts], met[:, p.contexts :]
+    even = lambda x: (x + x.sum(axis=0) / max(1.0, x.sum()) + 1e-9) / (x + x.sum(axis=0) / max(1.0, x.sum()) + 1e-9).sum(axis=1, keepdims=True)
+    likes = np.sqrt(np.concatenate([even(behind), even(ahead)], axis=1))
+    draw = np.random.default_rng(p.seed)
+    centers = likes[draw.choice(p.classes, 1, p=unigram)]
+    far = lambda: ((likes[:, None, :] - centers) ** 2).sum(axis=2)
+    while len(centers) < p.states:
+        odds = unigram * far().min(axis=1) + 1e-15
+        centers = np.vstack([centers, likes[draw.choice(p.classes, p=odds / odds.sum())]])
+    for _ in range(30):
+        own = np.eye(p.states)[far().argmin(axis=1)] * unigram[:, None]
+        held = own.sum(axis=0)[:, None]
+        centers = np.where(held > 0, own.T @ likes / np.maximum(held, 1e-300), centers)
+    share = 0.9 * np.eye(p.states)[far().argmin(axis=1)] + 0.1 / p.states
+    mass = share * unigram[:, None] * tokens
+    of_kind = np.zeros((p.contexts, p.states))
+    np.add.at(of_kind, kind, mass)
+    move = (mass.T @ even(behind)) @ (of_kind / np.maximum(of_kind.sum(axis=1, keepdims=True), 1e-300))
+    return Model.of(mass.sum(axis=0), move, mass.T, unigram)
+
+
 def train(rows: DataFrame, lex: Lexicon, p: Hmm) -> Model:
     """``rows``: encoded training texts."""
     unigram = np.ones(p.classes)
@@ -274,14 +327,9 @@ def train(rows: DataFrame, lex: Lexicon, p: Hmm) -> Model:
     unigram[p.own : p.own + p.endings] += lex.room
     unigram[-1] += lex.ends
     unigram /= unigram.sum()
-    cut = rows.select(F.xxhash64("doc_id", "classes").alias("h")).orderBy("h").limit(p.sample).agg(F.max("h")).first()[0]
-    model = Model.guess(p)
-    if cut is None:
-        return model
-    few = rows.filter(F.xxhash64("doc_id", "classes") <= cut).limit(p.sample).select("classes").toLocalIterator()
-    known = sorted((np.frombuffer(bytes(r.classes), np.uint16).astype(np.int64)[:4096] for r in few), key=lambda x: (len(x), x.tobytes()))
-    for _ in range(p.sample_rounds):
-        model = Model.of(*model.expect(known), unigram)
+    if not lex.ends:
+        return Model.guess(p)
+    model = first_guess(rows, unigram, lex.total, p)
     for _ in range(p.rounds):
         model = baum_welch(rows, model, unigram, p)
     return model
