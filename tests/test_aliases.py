@@ -1,5 +1,6 @@
 """The alias trie: longest and leftmost matches, ambiguity, offsets, roles, against a plain scan."""
 
+import random
 import re
 
 import pytest
@@ -73,3 +74,40 @@ def test_roles(spark):
     own = spark.createDataFrame([("domain", "example.org"), ("domain", "other.org"), ("cve", "x")], "kind string, value string").select(
         A.mention_role(F.col("kind"), F.col("value"), F.lit("title"), F.lit("news.example.org"), F.lit("")).alias("r"))
     assert [r.r for r in own.collect()] == ["publisher", "subject", "subject"]
+
+
+def test_only_places_where_a_whole_alias_may_begin_are_walked(spark, monkeypatch):
+    """Words that begin some alias are frequent; they were followed, and written, one by one."""
+    written, durable = [], A.durable
+
+    def counted(df):
+        out = durable(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(A, "durable", counted)
+    docs = spark.createDataFrame([(1, "the report of the day " * 500 + "reached the Republic of Nowhere"), (2, "of the " * 500)], "id long, body string")
+    aliases = spark.createDataFrame([("The Republic of Nowhere", "country", "NW"), ("of nowhere", "region", "now")], "alias string, kind string, value string")
+    assert [(r.id, r.raw, r.value) for r in A.alias_mentions(docs, "id", "body", aliases).collect()] == [(1, "the Republic of Nowhere", "NW")]
+    assert max(written) < 20
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 17])
+def test_cutting_in_pieces_equals_a_plain_scan(spark, monkeypatch, piece):
+    """Texts of many scripts, cut at every length: letters whose lower case is longer or depends on their neighbours, gaps of all kinds, long words."""
+    monkeypatch.setattr(A, "PIECE", piece)
+    monkeypatch.setattr(A, "ROWS", 7)
+    aliases = [*ALIASES, ("ΟΔΟΣ ΑΣ", "region", "odos"), ("ς", "region", "sigma"), ("i stanbul", "country", "split"), ("i", "region", "i"), ("２０ mai", "region", "day"),
+               ("a b c d e f g h", "region", "eight"), ("b c", "region", "two"), ("𝒳 东京", "country", "plane"), ("x" * 300, "organization", "long")]
+    monkeypatch.setitem(globals(), "ALIASES", aliases)
+    words = ["United", "NATIONS", "security", "council", "Georgia", "côte", "d", "Ivoire", "ΟΔΟΣ", "ΑΣ", "οδος", "Σ", "İstanbul", "İ", "i", "stanbul", "２０", "MAI", *"ABCDEFGH", "𝒳", "东京", "X" * 300, "the"]
+    chance = random.Random(5)
+    texts = ["".join(chance.choice(words) + chance.choice([" ", " ", " ", "_", "\n", "'", "😀", "\u0307", ". "]) for _ in range(chance.randrange(60))) for _ in range(60)]
+    texts += ["", " ", "a b c d e f g h", "a b c d", "e f g h", None, "united nations security council " * 40, " ".join("abcdefgh" * 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(2)
+    got = {}
+    for r in A.alias_mentions(docs, "id", "body", spark.createDataFrame(aliases, "alias string, kind string, value string")).collect():
+        assert r.before == texts[r.id][max(r.start - A.NEAR, 0) : r.start]
+        got.setdefault(r.id, []).append((r.kind, r.value, r.raw, r.start, r.end))
+    assert sum(map(len, got.values())) > 200
+    assert {i: sorted(x, key=lambda m: m[3]) for i, x in got.items()} == {i: by_hand(t) for i, t in enumerate(texts) if t and by_hand(t)}
