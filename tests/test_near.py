@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import near as N
 from tidewatch.operators import relate as R
 from tidewatch.operators.numbering import OrderSpan, number
+from tidewatch.session import durable
 
 
 def fingerprint_by_hand(text, words=3):
@@ -93,6 +94,23 @@ def test_a_long_text_is_cut_into_words_once(spark):
     assert time.monotonic() - started < 30  # cut again for every run, it took minutes
 
 
+def test_no_table_passes_whole_through_the_driver(spark, texts, monkeypatch):
+    plans = []
+
+    def run(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(N, "durable", lambda df: [run(df), durable(df)][1])
+    docs = spark.createDataFrame(texts, "id long, body string")
+    got = {r.id: r.cluster for r in run(N.near_clusters(docs, "id", "body"))}
+    assert got == clusters_by_hand(texts, 3)
+    # By size all would be broadcast here; at 1 GB so was a table of 9 million rows, by the size of the file that ``inline`` made it of.
+    assert not [p for p in plans if "Broadcast" in p]
+    assert sum("SortMergeJoin" in p for p in plans) > 3
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in (*range(31), 50, 51, 99)], "node long")

@@ -5,6 +5,7 @@ fingerprints differ in at most ``bits`` bits are near-duplicates, and their conn
 through permuted tables: the 64 bits are cut into twice as many blocks as may differ, so half of the
 blocks of a near pair agree, and each choice of half of the blocks is the key of one table. Equal fingerprints are one member, every
 member of a bucket is first compared with the bucket's least one, and only members that are then still in different clusters meet.
+No side of a join has a fixed size, so none is left to be broadcast: all are merged.
 """
 
 from __future__ import annotations
@@ -65,6 +66,12 @@ def _near(a: str, b: str, bits: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """A side of a join to be sorted and merged. Spark goes by the compressed size of a written table, and does not count the
+    rows that ``inline`` makes of one, so it might take a table of any size for a small one and send it whole through the driver."""
+    return side.hint("merge")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, cluster): the least node reachable over ``edges`` (a, b); every node of ``nodes`` has a row.
 
@@ -74,9 +81,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = durable(nodes.select("node", F.col("node").alias("cluster")))
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("least"))
-        lower = labels.join(around, "node", "left").select("node", F.least("cluster", "least").alias("cluster"), F.col("cluster").alias("old"))
-        jumped = lower.join(labels.select(F.col("node").alias("cluster"), F.col("cluster").alias("onward")), "cluster")
+        around = both.join(_merged(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("least"))
+        lower = labels.join(_merged(around), "node", "left").select("node", F.least("cluster", "least").alias("cluster"), F.col("cluster").alias("old"))
+        jumped = lower.join(_merged(labels.select(F.col("node").alias("cluster"), F.col("cluster").alias("onward"))), "cluster")
         after = durable(jumped.select("node", F.least("cluster", "onward").alias("cluster"), "old"))
         labels = after.select("node", "cluster")
         if after.filter("cluster <> old").isEmpty():
@@ -90,17 +97,17 @@ def near_clusters(df: DataFrame, key: str, text: str, bits: int = 3, words: int
     tables = F.array(*(F.struct(F.lit(i).alias("table"), F.col("fingerprint").bitwiseAND(_signed(m)).alias("part")) for i, m in enumerate(block_masks(bits))))
     placed = members.select("rep", "fingerprint", F.inline(tables))
     least = placed.groupBy("table", "part").agg(F.min(F.struct("fingerprint", "rep")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    buckets = durable(placed.join(least, ["table", "part"]).select("table", "part", "rep", "fingerprint", F.col("least.fingerprint").alias("first"), F.col("least.rep").alias("first_rep")))
+    buckets = durable(placed.join(_merged(least), ["table", "part"]).select("table", "part", "rep", "fingerprint", F.col("least.fingerprint").alias("first"), F.col("least.rep").alias("first_rep")))
     stars = durable(buckets.filter((F.col("rep") != F.col("first_rep")) & _near("fingerprint", "first", bits)).select(F.col("rep").alias("a"), F.col("first_rep").alias("b")).distinct())
     nodes = members.select(F.col("rep").alias("node"))
     labels = components(stars, nodes)
-    own = durable(buckets.select("table", "part", "rep", "fingerprint").join(labels.withColumnRenamed("node", "rep"), "rep"))
+    own = durable(buckets.select("table", "part", "rep", "fingerprint").join(_merged(labels.withColumnRenamed("node", "rep")), "rep"))
     # Members that no bucket's least one has joined; buckets that are one cluster by now drop out.
     open_ = own.groupBy("table", "part").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).filter("x <> y").select("table", "part")
-    left = own.join(open_, ["table", "part"])
+    left = own.join(_merged(open_), ["table", "part"])
     right = left.select("table", "part", *(F.col(c).alias(f"o_{c}") for c in ("rep", "fingerprint", "cluster")))
-    apart = left.join(right, ["table", "part"]).filter((F.col("cluster") < F.col("o_cluster")) & _near("fingerprint", "o_fingerprint", bits))
+    apart = left.join(_merged(right), ["table", "part"]).filter((F.col("cluster") < F.col("o_cluster")) & _near("fingerprint", "o_fingerprint", bits))
     links = stars.union(apart.select("rep", "o_rep").distinct())
     groups = components(links, nodes)
-    found = signed.join(members, "fingerprint").join(groups.withColumnRenamed("node", "rep"), "rep").select(key, "cluster")
-    return df.select(key).join(found, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
+    found = signed.join(_merged(members), "fingerprint").join(_merged(groups.withColumnRenamed("node", "rep")), "rep").select(key, "cluster")
+    return df.select(key).join(_merged(found), key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
